@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from millrace.llm.queries import vectors
+from millrace.llm.queries import leaks, subject, vectors
 
-MODULES = [vectors]
+MODULES = [vectors, leaks, subject]
