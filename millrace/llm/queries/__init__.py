@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from millrace.llm.queries import leaks, subject, vectors
+from millrace.llm.queries import credentials, leaks, subject, vectors
 
-MODULES = [vectors, leaks, subject]
+MODULES = [vectors, credentials, leaks, subject]
