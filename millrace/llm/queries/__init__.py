@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from millrace.llm.queries import credentials, leaks, subject, vectors
+from millrace.llm.queries import credentials, leaks, origins, subject, vectors
 
-MODULES = [vectors, credentials, leaks, subject]
+MODULES = [vectors, credentials, origins, leaks, subject]
