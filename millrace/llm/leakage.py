@@ -1,22 +1,23 @@
 """Evaluation texts inside a training corpus, by a distributed positional inverted index.
 
-The index holds, per term and document, the list of word positions. Of every window of `run` words of a test item the
-three rarest terms are looked up, rarest first: the list of the first gives (document, shift) pairs, the lists of the
-others are intersected with it at their offsets. What is left is compared word by word. A common phrase of at least
-`run` words contains a whole window at one shift, so nothing can be missed; common terms are looked up only where a window
-has no rarer ones.
+The index holds, per term and document, the list of word positions. Of every window of `run` words of a test item the two
+rarest terms are looked up, rarest first: the list of the first gives (document, shift) pairs, that of the second is
+intersected with it at its offset. What is left is compared word by word. A common phrase of at least `run` words contains a
+whole window at one shift, so nothing can be missed; common terms are looked up only where a window has no rarer ones, and
+lists that no window asks for are not stored.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import small_rows, written
+from millrace.session import BROADCAST_ROWS, small_rows, written
 
 #: Test items are a fixed set; a larger one is refused rather than sent to every task.
 MOST_ITEMS = 50_000
@@ -24,44 +25,57 @@ MOST_ITEMS = 50_000
 INVISIBLE = "​‍﻿"
 
 
-def words_of(text: Column) -> Column:
-    """The runs of letters and digits of the lower-cased text. Null gives null."""
-    return F.regexp_extract_all(F.translate(F.lower(text), INVISIBLE, ""), F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1))
+_WORD = re.compile(r"[^\W_]+")
+_HIDDEN = str.maketrans("", "", INVISIBLE)
 
 
-def postings(words: DataFrame, terms: set[str] | None = None) -> DataFrame:
-    """(term, doc_id, positions) for `words` (doc_id, words), all terms or those given."""
+def words_of(text: str) -> list[str]:
+    """The runs of letters and digits of the lower-cased text."""
+    return _WORD.findall(text.lower().translate(_HIDDEN))
+
+
+def postings(docs: DataFrame, terms: set[str] | None = None) -> DataFrame:
+    """(term, doc_id, positions) for docs (doc_id, text), all terms or those given."""
 
     def build(batches):
         for b in batches:
             t_out, d_out, p_out = [], [], []
-            for doc, ws in zip(b.column("doc_id").to_pylist(), b.column("words").to_pylist()):
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 at: dict[str, list[int]] = {}
-                for i, w in enumerate(ws or ()):
-                    if terms is None or w in terms:
+                ws = words_of(text)
+                some = set(ws) if terms is None else terms.intersection(ws)
+                if not some:
+                    continue
+                for i, w in enumerate(ws):
+                    if w in some:
                         at.setdefault(w, []).append(i)
                 t_out += at.keys()
                 p_out += at.values()
                 d_out += [doc] * len(at)
             yield pa.RecordBatch.from_arrays([pa.array(t_out, pa.string()), pa.array(d_out, pa.int64()), pa.array(p_out, pa.list_(pa.int32()))], names=["term", "doc_id", "positions"])
 
-    return words.mapInArrow(build, "term string, doc_id bigint, positions array<int>")
+    return docs.mapInArrow(build, "term string, doc_id bigint, positions array<int>")
 
 
-def document_frequencies(words: DataFrame, terms: set[str]) -> dict[str, int]:
+def document_frequencies(docs: DataFrame, terms: set[str]) -> dict[str, int]:
     """In how many documents each term occurs; over all documents, counted on the map side first."""
 
     def count(batches):
         c: Counter = Counter()
         for b in batches:
-            for ws in b.column("words").to_pylist():
-                c.update(terms.intersection(ws or ()))
+            for text in b.column("text").to_pylist():
+                c.update(terms.intersection(words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.int64())], names=["term", "n"])
 
-    rows = words.select("words").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     return {r.term: r.n for r in small_rows(rows, "the items' vocabulary", 5_000_000)}
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Marked to be sent to every task, if it is small enough for that."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _probes(items: dict[int, list[str]], df: dict[str, int], run: int) -> list[tuple]:
     out = set()
     for item, ws in items.items():
@@ -69,8 +83,8 @@ def _probes(items: dict[int, list[str]], df: dict[str, int], run: int) -> list[t
             if min(df.get(w, 0) for w in ws[i : i + run]) == 0:
                 continue  # some word of the window is nowhere in the corpus
             order = sorted(range(i, i + run), key=lambda j: (df[ws[j]], ws[j], j))
-            a, b, c = order[0], order[1 % run], order[2 % run]
-            out.add((item, ws[a], a, ws[b], b, ws[c], c))
+            a, b = order[0], order[1 % run]
+            out.add((item, ws[a], a, ws[b], b))
     return sorted(out)
 
 
@@ -89,6 +103,14 @@ def _runs(item: list[str], doc: list[str], shift: int, run: int) -> list[tuple[i
     return out
 
 
+def _items(items: DataFrame) -> dict[int, list[str]]:
+    found = small_rows(items.where("item_id is not null and text is not null").select("item_id", "text"), "the test items", MOST_ITEMS)
+    by_id: dict[int, list[str]] = {}
+    for r in found:
+        by_id[r.item_id] = max(by_id.get(r.item_id, []), words_of(r.text), key=lambda w: (len(w), w))
+    return by_id
+
+
 def leaked_phrases(docs: DataFrame, items: DataFrame, run: int = 20) -> DataFrame:
     """(item_id, doc_id, item_word, doc_word, n_words): every maximal common phrase of at least `run` words.
 
@@ -97,31 +119,28 @@ def leaked_phrases(docs: DataFrame, items: DataFrame, run: int = 20) -> DataFram
     table gives no rows.
     """
     spark = docs.sparkSession
-    found = small_rows(items.where("item_id is not null and text is not null").select("item_id", words_of(F.col("text")).alias("words")), "the test items", MOST_ITEMS)
-    by_id: dict[int, list[str]] = {}
-    for r in found:
-        by_id[r.item_id] = max(by_id.get(r.item_id, []), r.words, key=lambda w: (len(w), w))
-    words = docs.where("text is not null").select("doc_id", words_of(F.col("text")).alias("words"))
-    df = document_frequencies(words, {w for ws in by_id.values() for w in ws})
+    by_id = _items(items)
+    texts = docs.where("text is not null").select("doc_id", "text")
+    df = document_frequencies(texts, {w for ws in by_id.values() for w in ws})
     probes = _probes(by_id, df, run)
     empty = spark.createDataFrame([], "item_id int, doc_id bigint, item_word int, doc_word int, n_words int")
     if not probes:
         return empty
-    table = spark.createDataFrame(probes, "item_id int, t1 string, o1 int, t2 string, o2 int, t3 string, o3 int")
-    index = written(postings(words, {t for p in probes for t in (p[1], p[3], p[5])}), "postings")
+    table = spark.createDataFrame(probes, "item_id int, t1 string, o1 int, t2 string, o2 int")
+    index = written(postings(texts, {t for p in probes for t in (p[1], p[3])}), "postings")
     first = index.join(F.broadcast(table), index.term == table.t1)
-    hits = first.select("item_id", "t2", "o2", "t3", "o3", "doc_id", F.explode("positions").alias("at"), "o1")
-    hits = hits.select("item_id", "doc_id", (F.col("at") - F.col("o1")).alias("shift"), "t2", "o2", "t3", "o3")
-    for t, o in (("t2", "o2"), ("t3", "o3")):
-        side = index.select(F.col("term").alias("s_term"), F.col("doc_id").alias("s_doc"), "positions")
-        on = (F.col(t) == F.col("s_term")) & (F.col("doc_id") == F.col("s_doc"))
-        hits = hits.join(side, on).where(F.array_contains("positions", F.col("shift") + F.col(o))).drop("s_term", "s_doc", "positions")
-    hits = hits.select("item_id", "doc_id", "shift").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("hits"))
+    hits = first.select("item_id", "t2", "o2", "doc_id", F.explode("positions").alias("at"), "o1")
+    hits = written(hits.select("item_id", "doc_id", (F.col("at") - F.col("o1")).alias("shift"), "t2", "o2").distinct(), "first")
+    side = index.select(F.col("term").alias("s_term"), F.col("doc_id").alias("s_doc"), "positions")
+    both = side.join(_few(hits), (F.col("t2") == F.col("s_term")) & (F.col("doc_id") == F.col("s_doc")))
+    hits = both.where(F.array_contains("positions", F.col("shift") + F.col("o2"))).select("item_id", "doc_id", "shift").distinct()
+    hits = written(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("hits")), "hits")
 
     def compare(batches):
         for b in batches:
             rows = []
-            for doc, ws, hs in zip(b.column("doc_id").to_pylist(), b.column("words").to_pylist(), b.column("hits").to_pylist()):
+            for doc, text, hs in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("hits").to_pylist()):
+                ws = words_of(text)
                 for h in hs:
                     for k, n in _runs(by_id[h["item_id"]], ws, h["shift"], run):
                         rows.append((h["item_id"], doc, k, k + h["shift"], n))
@@ -129,22 +148,22 @@ def leaked_phrases(docs: DataFrame, items: DataFrame, run: int = 20) -> DataFram
             types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["item_id", "doc_id", "item_word", "doc_word", "n_words"])
 
-    return words.join(hits, "doc_id").mapInArrow(compare, empty.schema)
+    return texts.join(_few(hits), "doc_id").mapInArrow(compare, empty.schema)
 
 
 def near_terms(docs: DataFrame, items: DataFrame, terms: int = 8, least: int = 4, span: int = 50) -> DataFrame:
     """(item_id, doc_id, n_terms, span): documents in which at least `least` of an item's `terms` rarest words stand within
     `span` words in any order. Words that occur in no document do not count. Nulls, blanks and empty tables give no rows."""
     spark = docs.sparkSession
-    found = small_rows(items.where("item_id is not null and text is not null").select("item_id", words_of(F.col("text")).alias("words")), "the test items", MOST_ITEMS)
-    words = docs.where("text is not null").select("doc_id", words_of(F.col("text")).alias("words"))
-    df = document_frequencies(words, {w for r in found for w in r.words})
-    pairs = sorted({(r.item_id, w) for r in found for w in sorted({w for w in r.words if df.get(w)}, key=lambda w: (df[w], w))[:terms]})
+    by_id = _items(items)
+    texts = docs.where("text is not null").select("doc_id", "text")
+    df = document_frequencies(texts, {w for ws in by_id.values() for w in ws})
+    pairs = sorted({(i, w) for i, ws in by_id.items() for w in sorted({w for w in ws if df.get(w)}, key=lambda w: (df[w], w))[:terms]})
     schema = "item_id int, doc_id bigint, n_terms int, span int"
     if not pairs:
         return spark.createDataFrame([], schema)
     table = spark.createDataFrame(pairs, "item_id int, q_term string")
-    index = postings(words, {t for _, t in pairs})
+    index = postings(texts, {t for _, t in pairs})
     lists = index.join(F.broadcast(table), index.term == table.q_term).groupBy("item_id", "doc_id").agg(F.collect_list(F.struct("term", "positions")).alias("lists"))
     lists = lists.where(F.size("lists") >= least)
 
