@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from millrace.llm.queries import credentials, leaks, origins, subject, vectors
+from millrace.llm.queries import credentials, leaks, mixture, origins, parsing, subject, vectors
 
-MODULES = [vectors, credentials, origins, leaks, subject]
+MODULES = [vectors, parsing, origins, credentials, leaks, mixture, subject]
