@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from millrace.queries import records
+from millrace.queries import records, reference
 
-MODULES = [records]
+MODULES = [records, reference]
