@@ -4,7 +4,9 @@ The index holds, per term and document, the list of word positions. Of every win
 rarest terms are looked up, rarest first: the list of the first gives (document, shift) pairs, that of the second is
 intersected with it at its offset. What is left is compared word by word. A common phrase of at least `run` words contains a
 whole window at one shift, so nothing can be missed; common terms are looked up only where a window has no rarer ones, and
-lists that no window asks for are not stored.
+lists that no window asks for are not kept.
+The index is partitioned by document, one shard per Arrow batch: lists are intersected in the task that built them, so that
+neither postings nor texts are shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import BROADCAST_ROWS, small_rows, written
+from millrace.session import small_rows
 
 #: Test items are a fixed set; a larger one is refused rather than sent to every task.
 MOST_ITEMS = 50_000
@@ -71,9 +73,16 @@ def document_frequencies(docs: DataFrame, terms: set[str]) -> dict[str, int]:
     return {r.term: r.n for r in small_rows(rows, "the items' vocabulary", 5_000_000)}
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """Marked to be sent to every task, if it is small enough for that."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def shard_postings(words: list[list[str]], wanted: set[str]) -> dict[str, dict[int, list[int]]]:
+    """{term: {row: positions}} of one shard, for the terms that are looked up."""
+    out: dict[str, dict[int, list[int]]] = {}
+    for row, ws in enumerate(words):
+        some = wanted.intersection(ws)
+        if some:
+            for i, w in enumerate(ws):
+                if w in some:
+                    out.setdefault(w, {}).setdefault(row, []).append(i)
+    return out
 
 
 def _probes(items: dict[int, list[str]], df: dict[str, int], run: int) -> list[tuple]:
@@ -126,29 +135,37 @@ def leaked_phrases(docs: DataFrame, items: DataFrame, run: int = 20) -> DataFram
     empty = spark.createDataFrame([], "item_id int, doc_id bigint, item_word int, doc_word int, n_words int")
     if not probes:
         return empty
-    table = spark.createDataFrame(probes, "item_id int, t1 string, o1 int, t2 string, o2 int")
-    index = written(postings(texts, {t for p in probes for t in (p[1], p[3])}), "postings")
-    first = index.join(F.broadcast(table), index.term == table.t1)
-    hits = first.select("item_id", "t2", "o2", "doc_id", F.explode("positions").alias("at"), "o1")
-    hits = written(hits.select("item_id", "doc_id", (F.col("at") - F.col("o1")).alias("shift"), "t2", "o2").distinct(), "first")
-    side = index.select(F.col("term").alias("s_term"), F.col("doc_id").alias("s_doc"), "positions")
-    both = side.join(_few(hits), (F.col("t2") == F.col("s_term")) & (F.col("doc_id") == F.col("s_doc")))
-    hits = both.where(F.array_contains("positions", F.col("shift") + F.col("o2"))).select("item_id", "doc_id", "shift").distinct()
-    hits = written(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("hits")), "hits")
-
-    def compare(batches):
+    by_first: dict[str, list[tuple]] = {}
+    for item, t1, o1, t2, o2 in probes:
+        by_first.setdefault(t1, []).append((item, o1, t2, o2))
+    wanted = {t for p in probes for t in (p[1], p[3])}
+
+    def search(batches):
         for b in batches:
+            docs_, texts_ = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            words = [words_of(t) for t in texts_]
+            index = shard_postings(words, wanted)
             rows = []
-            for doc, text, hs in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("hits").to_pylist()):
-                ws = words_of(text)
-                for h in hs:
-                    for k, n in _runs(by_id[h["item_id"]], ws, h["shift"], run):
-                        rows.append((h["item_id"], doc, k, k + h["shift"], n))
-            cols = list(zip(*rows)) or [()] * 5
+            for t1, asks in by_first.items():
+                for at, first in index.get(t1, {}).items():
+                    seen = set()
+                    for item, o1, t2, o2 in asks:
+                        second = index.get(t2, {}).get(at)
+                        if second is None:
+                            continue
+                        for shift in [p - o1 for p in first]:
+                            if (item, shift) not in seen and shift + o2 in second:
+                                seen.add((item, shift))
+                    rows += [(item, at, shift) for item, shift in seen]
+            out = set()
+            for item, at, shift in set(rows):
+                for k, n in _runs(by_id[item], words[at], shift, run):
+                    out.add((item, docs_[at], k, k + shift, n))
+            cols = list(zip(*sorted(out))) or [()] * 5
             types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["item_id", "doc_id", "item_word", "doc_word", "n_words"])
 
-    return texts.join(_few(hits), "doc_id").mapInArrow(compare, empty.schema)
+    return texts.mapInArrow(search, empty.schema)
 
 
 def near_terms(docs: DataFrame, items: DataFrame, terms: int = 8, least: int = 4, span: int = 50) -> DataFrame:
