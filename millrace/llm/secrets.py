@@ -8,8 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.trigrams import candidates, required_trigrams, trigram_postings
-from millrace.session import written
+from millrace.llm.trigrams import TrigramIndex, required_trigrams
 
 _NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|signing[_-]?key|license[_-]?key|licence[_-]?key|private[_-]?key|secret[_-]?key|auth[_-]?key|encryption[_-]?key|bearer|credentials?)"
 _VALUE = r"[^\s\"'`<>(){}\[\],;\\]"
@@ -23,7 +22,7 @@ RULES = {
     "plain": r"(?P<k>[\w.-]*" + _NAME + r")(?:_?\d+)?[\"']?\s*(?:=>|:=|=|:)\s*(?P<v>" + _VALUE + r"+)\s*(?:[#;].*)?$",
     "prose": r"\b(?:[\w-]*" + _NAME + r"|log[io]n|api key)\b(?P<v>[^\n]*)",
     "jwt": r"(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
-    "vendor": r"(?P<v>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|\b[a-z]{2,4}_(?:live|test|prod)_[A-Za-z0-9]{16,})",
+    "vendor": r"(?P<v>\b(?:AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16})\b|\b(?:ghp_|gho_|ghu_|ghs_|ghr_)[A-Za-z0-9]{30,}|\b(?:xoxa|xoxb|xoxp|xoxr|xoxs)-[A-Za-z0-9-]{10,}|\b[a-z]{2,4}(?:_live_|_test_|_prod_)[A-Za-z0-9]{16,})",
 }
 _CASED = {"private_key", "jwt", "vendor"}
 _RE = {k: re.compile(p, 0 if k in _CASED else re.I) for k, p in RULES.items()}
@@ -155,45 +154,46 @@ def redact(text: str, found: list[tuple[int, str, list[tuple[int, int, int]]]])
     return "\n".join(lines)
 
 
-def _is_settings(path):
-    low = F.lower(F.coalesce(path, F.lit("")))
-    cond = F.lit(False)
-    for s in SETTINGS:
-        cond = cond | low.endswith(s)
-    return cond
+_FOUND = "chunk_id string, lines array<int>, rules array<string>, masked string"
 
 
-def detect(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(places, texts) for chunks (chunk_id, path, text).
-
-    places: chunk_id, line_no, rule; one row per chunk and line. texts: chunk_id, text, with the secrets masked, of the chunks that
-    have any. Equal texts are examined once. Null texts have no secrets; a chunk id with several texts gets the places of each;
-    empty tables give no rows.
-    """
-    rows = chunks.where(F.col("text").isNotNull() & F.col("chunk_id").isNotNull()).select("chunk_id", "text", _is_settings(F.col("path")).alias("settings"))
-    doc = F.sha1(F.concat(F.col("settings").cast("string"), F.lit("|"), F.col("text"))).alias("doc")
-    links = rows.select("chunk_id", doc).distinct()
-    contents = rows.select(doc, "settings", "text").dropDuplicates(["doc"])
+def scan(chunks: DataFrame) -> DataFrame:
+    """`_FOUND` for the rows of chunks (chunk_id, path, text) that hold secrets. Each batch of rows is indexed by trigrams, the
+    lists that a rule requires are intersected, and the rule's expression runs on those rows only."""
     queries = {k: required_trigrams(p, re.I) for k, p in RULES.items()}
     wanted = {g for q in queries.values() for c in q for g in c}
-    picked = written(candidates(trigram_postings(contents.select("doc", "text"), wanted), {k: q for k, q in queries.items() if q}), "candidates")
-    always = [k for k, q in queries.items() if not q]
-    probe = contents.join(picked, "doc", "left" if always else "inner")
 
-    def verify(batches):
+    def run(batches):
         for b in batches:
-            d_out, l_out, r_out, t_out = [], [], [], []
-            for d, s, t, rs in zip(*(b.column(c).to_pylist() for c in ("doc", "settings", "text", "rules"))):
-                found = find_secrets(t, s, {*(rs or ()), *always})
+            ids, paths, texts = (b.column(c).to_pylist() for c in ("chunk_id", "path", "text"))
+            index = TrigramIndex(texts, wanted)
+            rules: dict[int, set[str]] = {}
+            for rule, q in queries.items():
+                for row in index.rows(q):
+                    rules.setdefault(row, set()).add(rule)
+            out = []
+            for row in sorted(rules):
+                text = texts[row]
+                found = find_secrets(text, (paths[row] or "").lower().endswith(SETTINGS), rules[row]) if text else []
                 if found:
-                    d_out.append(d)
-                    l_out.append([f[0] for f in found])
-                    r_out.append([f[1] for f in found])
-                    t_out.append(redact(t, found))
-            yield pa.RecordBatch.from_arrays([pa.array(d_out, pa.string()), pa.array(l_out, pa.list_(pa.int32())), pa.array(r_out, pa.list_(pa.string())), pa.array(t_out, pa.string())], names=["doc", "lines", "rules", "masked"])
+                    out.append((ids[row], [f[0] for f in found], [f[1] for f in found], redact(text, found)))
+            cols = list(zip(*out)) or [()] * 4
+            types = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["chunk_id", "lines", "rules", "masked"])
+
+    rows = chunks.where(F.col("text").isNotNull() & F.col("chunk_id").isNotNull()).select("chunk_id", "path", "text")
+    return rows.mapInArrow(run, _FOUND)
 
-    hits = written(probe.select("doc", "settings", "text", "rules").mapInArrow(verify, "doc string, lines array<int>, rules array<string>, masked string"), "secrets")
+
+def detect(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, texts) for chunks (chunk_id, path, text).
+
+    places: chunk_id, line_no, rule; one row per chunk and line. texts: chunk_id, text, with the secrets masked, of the chunks that
+    have any. Null texts and rows without an id have no secrets; repeated rows give each place once; a chunk id with several
+    texts gets the places of each; empty tables give no rows.
+    """
+    hits = scan(chunks)
     at = F.explode(F.arrays_zip("lines", "rules")).alias("x")
-    places = links.join(hits.select("doc", at), "doc").select("chunk_id", F.col("x.lines").alias("line_no"), F.col("x.rules").alias("rule")).dropDuplicates(["chunk_id", "line_no"])
-    texts = links.join(hits.select("doc", "masked"), "doc").select("chunk_id", F.col("masked").alias("text"))
+    places = hits.select("chunk_id", at).select("chunk_id", F.col("x.lines").alias("line_no"), F.col("x.rules").alias("rule")).groupBy("chunk_id", "line_no").agg(F.min("rule").alias("rule"))
+    texts = hits.select("chunk_id", F.col("masked").alias("text")).distinct()
     return places, texts

@@ -6,10 +6,6 @@ import re
 from re import _constants as C
 from re import _parser
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 Conjunction = frozenset
 _MOST_EXACT, _MOST_TERMS = 64, 200
 
@@ -94,27 +90,34 @@ def required_trigrams(pattern: str, flags: int = 0) -> list[Conjunction]:
     return _walk(_parser.parse(pattern, flags))[1]
 
 
-def trigram_postings(texts: DataFrame, wanted: set[str]) -> DataFrame:
-    """(gram, doc): in which rows of (doc, text) each wanted trigram occurs, once per row, case ignored."""
+class TrigramIndex:
+    """An inverted index over the texts of one shard: the rows in which each wanted trigram occurs, case ignored.
+
+    Texts are spread over shards as Spark reads them, one Arrow batch each, so that lists are intersected where they are built
+    and neither postings nor texts are shuffled.
+    """
 
-    def build(batches):
-        for b in batches:
-            g_out, d_out = [], []
-            for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
+    def __init__(self, texts: list[str | None], wanted: set[str]):
+        self.n = len(texts)
+        self.postings: dict[str, set[int]] = {g: set() for g in wanted}
+        for row, text in enumerate(texts):
+            if text:
                 low = text.lower()
-                got = [g for g in wanted if g in low] if len(low) > 4 * len(wanted) else wanted.intersection(low[i : i + 3] for i in range(len(low) - 2))
-                g_out += got
-                d_out += [doc] * len(got)
-            yield pa.RecordBatch.from_arrays([pa.array(g_out, pa.string()), pa.array(d_out, pa.string())], names=["gram", "doc"])
-
-    return texts.mapInArrow(build, "gram string, doc string")
-
-
-def candidates(postings: DataFrame, queries: dict[str, list[Conjunction]]) -> DataFrame:
-    """(doc, rules): the rows that satisfy the condition of at least one rule, from the postings alone. The terms of the
-    queries come from the rules' regular expressions and are as many as those are long."""
-    spark = postings.sparkSession
-    terms = [(f"{rule}/{k}", rule, g, len(conj)) for rule, q in queries.items() for k, conj in enumerate(q) for g in sorted(conj)]
-    table = spark.createDataFrame(terms, "conj string, rule string, gram string, n int")
-    met = postings.join(F.broadcast(table), "gram").groupBy("doc", "conj", "rule", "n").agg(F.count("*").alias("have"))
-    return met.where("have = n").groupBy("doc").agg(F.collect_set("rule").alias("rules"))
+                grams = (g for g in wanted if g in low) if len(low) > 8 * len(wanted) else wanted.intersection(low[i : i + 3] for i in range(len(low) - 2))
+                for g in grams:
+                    self.postings[g].add(row)
+
+    def rows(self, query: list[Conjunction]) -> set[int]:
+        """The rows that satisfy a query, shortest lists first; all rows for an empty query."""
+        if not query:
+            return set(range(self.n))
+        out: set[int] = set()
+        for conj in query:
+            lists = sorted((self.postings[g] for g in conj), key=len)
+            hit = set(lists[0])
+            for more in lists[1:]:
+                if not hit:
+                    break
+                hit &= more
+            out |= hit
+        return out
