@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from millrace.functions.scalars import CITATION, valid_citations
 
@@ -42,10 +41,17 @@ def _strip(text: str | None, dropped) -> str | None:
     return _PATTERN.sub(one, text)
 
 
-@F.pandas_udf(StringType())
-def strip_citations(answer: pd.Series, dropped: pd.Series) -> pd.Series:
-    """The answer with each dropped citation replaced by a note."""
-    return pd.Series([_strip(a, d) for a, d in zip(answer, dropped)], dtype="object")
+def strip_citations(df: DataFrame) -> DataFrame:
+    """`df` with each citation of its column `dropped` replaced by a note in its column `answer`."""
+    schema = df.schema
+    at = schema.fieldNames().index("answer")
+
+    def run(batches):
+        for b in batches:
+            new = pa.array([_strip(a, d) for a, d in zip(b.column("answer").to_pylist(), b.column("dropped").to_pylist())], pa.string())
+            yield b.set_column(at, "answer", new)
+
+    return df.mapInArrow(run, schema)
 
 
 def settle(first: DataFrame, second: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -56,4 +62,5 @@ def settle(first: DataFrame, second: DataFrame, retrieved: DataFrame) -> DataFra
     j = a.join(b, "query_id", "left")
     retry = ~F.col("valid") & F.col("answer2").isNotNull()
     text, gone = F.when(retry, F.col("answer2")).otherwise(F.col("answer")), F.when(retry, F.col("dropped2")).otherwise(F.col("dropped"))
-    return j.select("query_id", strip_citations(text, gone).alias("answer"), F.when(retry, F.col("kept2")).otherwise(F.col("kept")).alias("kept"), F.when(retry, F.col("valid2")).otherwise(F.col("valid")).alias("valid"), retry.alias("retried"))
+    final = j.select("query_id", text.alias("answer"), gone.alias("dropped"), F.when(retry, F.col("kept2")).otherwise(F.col("kept")).alias("kept"), F.when(retry, F.col("valid2")).otherwise(F.col("valid")).alias("valid"), retry.alias("retried"))
+    return strip_citations(final).drop("dropped")

@@ -467,7 +467,7 @@ def grounding_verify(spark, d):
   ELSE 'See [citation removed]' END || ' and [' || path || ':0-3].' AS answer FROM s""")
 def citations_strip(spark, d):
     v = grounding.verify(_answers(spark, d), _spans(spark, d).withColumnRenamed("chunk_id", "query_id"))
-    return v.select("query_id", grounding.strip_citations("answer", "dropped").alias("answer"))
+    return grounding.strip_citations(v.select("query_id", "answer", "dropped")).select("query_id", "answer")
 
 
 @query("""SELECT doc_id, sha256(coalesce(repo, '') || chr(31) || 'v1' || chr(31) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(31) || 'auto' || chr(31) || '8' || chr(31) || 'mock') AS key FROM documents WHERE text IS NOT NULL""")
