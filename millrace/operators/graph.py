@@ -147,16 +147,18 @@ def communities_by_moves(graph: DataFrame, resolution: float = 1.0, rounds: int
         gain = gain.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * inside / two_m, 9))
         own_gain = F.max(F.when(F.col("cluster") == F.col("own"), F.col("gain")))
         best = gain.groupBy("v").agg(F.max_by("cluster", F.struct("gain", "cluster")).alias("best"), F.max("gain").alias("g"), own_gain.alias("g0"))
-        alone = -resolution * F.col("k") * 0
         may = F.pmod(F.xxhash64("v", F.lit(seed + r)), F.lit(2)) == 0
-        moves = F.when(may & (F.col("g") > F.coalesce("g0", F.lit(0.0) + alone)), F.col("best")).otherwise(F.col("cluster"))
-        nxt = state.join(best, "v", "left").select("v", "k", moves.alias("cluster"), (moves != F.col("cluster")).alias("moved"))
+        # a vertex without a neighbour in its own cluster stays at the gain it has there alone
+        alone = -resolution * F.col("k") * (F.col("own_total") - F.col("k")) / two_m
+        wants = F.coalesce(F.col("g") > F.coalesce(F.col("g0"), F.round(alone, 9)), F.lit(False))
+        kept = state.join(best, "v", "left").join(total.withColumnRenamed("total", "own_total"), "cluster")
+        nxt = kept.select("v", "k", F.when(may & wants, F.col("best")).otherwise(F.col("cluster")).alias("cluster"), wants.alias("wants"))
         new_path = fresh_path(spark, "moves")
         out = written_at(nxt, new_path)
-        n_moved = out.where("moved").count()
-        state = out.drop("moved")
+        n_wanting = out.where("wants").count()
+        state = out.drop("wants")
         remove(spark, path)
         path = new_path
-        if n_moved == 0 and r % 2:
+        if not n_wanting:
             break
     return state.select("v", "cluster")
