@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.scalars import tokens
+from millrace.session import small_rows, written
 
 #: The one token of a text without tokens; no question can contain it (fixed value).
 EMPTY_TOKEN = "__empty_chunk__"
@@ -34,28 +39,67 @@ def term_frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def term_stats(tf: DataFrame, n_docs: int, epsilon: float = 0.25) -> DataFrame:
-    """(term, df, idf): idf = ln(N - df + 0.5) - ln(df + 0.5); negative ones become epsilon times the mean of all."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    df = df.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw").alias("mean"))
-    return df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # mean is one row
+#: Questions are scored against all documents; a larger set than this must be split by the caller.
+MOST_QUESTIONS = 20_000
+_WORD = re.compile("[A-Za-z0-9]+")
+
+
+def _words(text: str | None) -> list[str]:
+    """The same as `tokens`, inside Arrow batches."""
+    return [w.lower() for w in _WORD.findall(text or "") if len(w) > 1 and not w.isdigit()]
 
 
 def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int = 50, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc, score, rank): Okapi BM25 with a token of a question counted as often as it occurs; scores not above 0 are
     dropped, ties go by doc. queries (query_id, question). An empty corpus or a question without tokens has no hits.
 
-    Only the posting lists of question terms meet the questions; scores are added per (question, document) on the map side.
+    Term statistics cover all documents. Long questions share common terms with nearly every document, so instead of joining
+    posting lists, each batch of documents is one product of its term weights with those of the stated questions, and only its
+    best k a question are shuffled.
     """
-    n_docs = docs.count()
-    tf = term_frequencies(docs, id_col, text_col)
-    q = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    avg = docs.select(F.size(F.when(F.size(tokens(F.col(text_col))) == 0, F.array(F.lit(""))).otherwise(tokens(F.col(text_col)))).alias("dl")).agg(F.avg("dl").alias("avgdl"))
-    stats = term_stats(tf, n_docs)
-    asked = q.join(stats, "term")
-    hit = tf.join(asked, "term").crossJoin(F.broadcast(avg))  # avg is one row
-    s = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", "doc").agg(F.round(F.sum(s), 6).alias("score")).where("score > 0")
+    spark = queries.sparkSession
+    ts = tokens(F.col(text_col))
+    bags = docs.select(F.when(F.size(ts) == 0, F.array(F.lit(EMPTY_TOKEN))).otherwise(ts).alias("ts"))
+    n_docs, avgdl = bags.agg(F.count("*"), F.avg(F.size("ts"))).first()
+    kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
+    schema = f"query_id {kinds[0]}, doc {kinds[1]}, score double"
+    asked = small_rows(queries.select("query_id", tokens(F.col("question")).alias("ts")), "the questions", MOST_QUESTIONS)
+    stats = bags.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    stats = written(stats.withColumn("raw", raw), "terms")
+    mean = stats.agg(F.avg("raw")).first()[0] or 0.0
+    wanted = queries.select(F.explode(tokens(F.col("question"))).alias("term")).distinct()
+    idf = {r.term: r.raw if r.raw >= 0 else 0.25 * mean for r in small_rows(stats.join(wanted, "term"), "the questions' terms", 1_000_000)}
+    place = {t: i for i, t in enumerate(sorted(idf))}
+    ids = [r.query_id for r in asked]
+    weights = np.zeros((len(place), len(ids)))
+    for j, r in enumerate(asked):
+        for t in r.ts:
+            if t in place:
+                weights[place[t], j] += idf[t] * (k1 + 1)
+
+    def score(batches):
+        for batch in batches:
+            keys, texts = np.array(batch.column("doc").to_pylist()), batch.column("text").to_pylist()
+            for a in range(0, len(keys), 512):
+                part = [_words(t) for t in texts[a : a + 512]]
+                tf = np.zeros((len(part), len(place)))
+                for i, ws in enumerate(part):
+                    for w in ws:
+                        if w in place:
+                            tf[i, place[w]] += 1
+                dl = np.array([max(1, len(ws)) for ws in part])[:, None]
+                s = np.round((tf / np.where(tf > 0, tf + k1 * (1 - b + b * dl / avgdl), 1)) @ weights, 6).T
+                top = np.lexsort((np.broadcast_to(keys[a : a + 512], s.shape), -s), axis=1)[:, :k]
+                got = np.take_along_axis(s, top, 1)
+                q, j = np.nonzero(got > 0)
+                cols = [[ids[i] for i in q], keys[a : a + 512][top[q, j]].tolist(), got[q, j]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["query_id", "doc", "score"])
+
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    types = [arrow[kinds[0]], arrow[kinds[1]], pa.float64()]
+    if not place or not ids:
+        return spark.createDataFrame([], schema + ", rank int")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(score, schema)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -136,11 +136,32 @@ class Hnsw:
         if m < 2 or ef_build < 1:
             raise ValueError("m of at least 2 and ef_build of at least 1")
         self.m, self.m0, self.ef_build, self.metric, self.heuristic = m, 2 * m, ef_build, metric, heuristic
-        self.rng, self.x, self.ids, self.layers, self.level, self.entry = np.random.default_rng(seed), [], [], [], [], -1
-        self.at: dict = {}
+        self.rng, self.ids, self.layers, self.level, self.entry = np.random.default_rng(seed), [], [], [], -1
+        self.rows, self.at = np.zeros((0, 0)), {}
+
+    @property
+    def x(self) -> np.ndarray:
+        return self.rows[: len(self.ids)]
+
+    def _prepare(self, v) -> np.ndarray:
+        """The stored form of a vector: of unit length for cosine, so that a distance is one product."""
+        v = np.asarray(v, np.float64)
+        return v / (np.linalg.norm(v) or 1) if self.metric == "cosine" else v
+
+    def _put(self, i: int, v: np.ndarray) -> None:
+        if i >= len(self.rows):
+            grown = np.zeros((max(64, 2 * len(self.rows)), len(v)))
+            if len(self.rows):
+                grown[: len(self.rows)] = self.rows
+            self.rows = grown
+        self.rows[i] = v
 
     def _d(self, q: np.ndarray, idx) -> np.ndarray:
-        return _scores(q[None, :], np.asarray([self.x[i] for i in idx], np.float64), self.metric)[0]
+        part = self.rows[idx]
+        if self.metric == "l2":
+            part = part - q
+            return np.einsum("ij,ij->i", part, part)
+        return 1 - part @ q
 
     def _search(self, q: np.ndarray, starts: list[tuple[float, int]], ef: int, layer: int) -> list[tuple[float, int]]:
         seen, near, best = {i for _, i in starts}, list(starts), [(-d, -i) for d, i in starts]
@@ -169,29 +190,29 @@ class Hnsw:
         for d, i in cand:
             if len(kept) == m:
                 break
-            if not kept or d < self._d(self.x[i], kept).min():
+            if not kept or d < self._d(self.rows[i], kept).min():
                 kept.append(i)
         kept += [i for _, i in cand if i not in kept][: m - len(kept)]  # the pruned fill what is left
         return kept
 
     def add(self, key, v) -> None:
-        v = np.asarray(v, np.float64)
-        if self.x and len(v) != len(self.x[0]):
+        v = self._prepare(v)
+        if self.ids and len(v) != self.rows.shape[1]:
             raise ValueError("dimension differs")
         if key in self.at:  # the same key again replaces the vector and keeps its level
             i = self.at[key]
-            self.x[i] = v
+            self._put(i, v)
             top = self.level[i]
         else:
-            i = len(self.x)
+            i = len(self.ids)
             self.at[key] = i
-            self.x.append(v)
+            self._put(i, v)
             self.ids.append(key)
             top = int(-math.log(max(self.rng.random(), 1e-12)) / math.log(self.m))
             self.level.append(top)
         while len(self.layers) <= top:
             self.layers.append({})
-        if self.entry < 0 or len(self.x) == 1:
+        if self.entry < 0 or len(self.ids) == 1:
             self.entry = i
             for layer in range(top + 1):
                 self.layers[layer].setdefault(i, [])
@@ -208,7 +229,7 @@ class Hnsw:
                 if i not in links:
                     links.append(i)
                 if len(links) > cap:
-                    ds = self._d(self.x[j], links)
+                    ds = self._d(self.rows[j], links)
                     self.layers[layer][j] = self._select(sorted(zip(ds.tolist(), links)), cap)
             ep = found or ep
         for layer in range(top + 1):
@@ -221,14 +242,14 @@ class Hnsw:
             raise ValueError("k of at least 1")
         if self.entry < 0:
             return []
-        q = np.asarray(q, np.float64)
+        q = self._prepare(q)
         ep = [(float(self._d(q, [self.entry])[0]), self.entry)]
         for layer in range(self.level[self.entry], 0, -1):
             ep = self._search(q, ep, 1, layer)[:1]
         return [(d, self.ids[i]) for d, i in self._search(q, ep, max(ef, k), 0)[:k]]
 
 
-def hnsw_top_k(queries: DataFrame, base: DataFrame, k: int = 10, shard_rows: int = 20_000, metric: str = "cosine", m: int = 16, ef_build: int = 100, ef: int = 64) -> DataFrame:
+def hnsw_top_k(queries: DataFrame, base: DataFrame, k: int = 10, shard_rows: int = 2_000, metric: str = "cosine", m: int = 16, ef_build: int = 100, ef: int = 64) -> DataFrame:
     """(query_id, item, distance, rank), approximately: the base is hashed into shards of a bounded size, each shard builds its
     graph and answers all questions, and the shards' best are merged. A neighbour is missed only where its own shard misses it."""
     qs = small_rows(queries.where("vector is not null").select("query_id", "vector"), "the query set", MOST_QUERIES)
