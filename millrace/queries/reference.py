@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import scalars as S
-from millrace.operators import code, evaluate, graph, grounding, leiden, retrieve, tables, text, vector
+from millrace.operators import answer, code, communities, evaluate, graph, grounding, leiden, retrieve, tables, text, vector
+from millrace.operators.hierarchy import current_links, hierarchies
 from millrace.queries.tables import read
 
 QUERIES: dict = {}
@@ -505,6 +506,33 @@ def prompt_render(spark, d):
     return g.select("repo", "path", F.array_join(F.transform("bs", lambda x: x.b), "\n\n").alias("prompt"))
 
 
+@query()
+def answer_dispatch(spark, d):
+    """Every evaluation item through its route, with the chunks that BM25 ranks first and the offline model."""
+    q = _questions(spark, d)
+    c = read(spark, d, "chunks").groupBy("chunk_id").agg(F.max(F.struct("created_at", "path", "start_line", "end_line", "symbol", "text")).alias("r")).select("chunk_id", "r.*")
+    got = text.bm25(q, _chunk_texts(spark, d), "chunk_id", "text", 8).join(c, F.col("doc") == F.col("chunk_id"))
+    return answer.dispatch(q, read(spark, d, "nodes"), read(spark, d, "edges"), got, got.limit(0))
+
+
+@query()
+def community_summaries(spark, d):
+    n = read(spark, d, "nodes").groupBy("fqn").agg(F.max("repo").alias("repo"))
+    g = graph.symmetrise(read(spark, d, "edges"), read(spark, d, "nodes"))
+    levels = leiden.communities(g.join(n.withColumnRenamed("fqn", "a"), "a").select("repo", "a", "b", "weight"))
+    return communities.summarise(levels, lambda p: F.concat(F.lit("Holds "), F.substring(F.regexp_replace(p, "\\s+", " "), 1, 60)))
+
+
+@query("""WITH RECURSIVE l AS (SELECT community_id AS id, max({'v': detected_at, 'p': coalesce(parent_id, 0)}).p AS p, max({'v': detected_at, 'm': coalesce(member_count, 0)}).m AS m FROM communities WHERE community_id IS NOT NULL GROUP BY 1),
+  d AS (SELECT id, id AS a, [id] AS path FROM l WHERE p = 0 OR p NOT IN (SELECT id FROM l) UNION ALL SELECT l.id, l.id, list_append(d.path, l.id) FROM l JOIN d ON l.p = d.id),
+  s AS (SELECT a, sum(m) AS s FROM (SELECT id, unnest(path) AS a FROM d) x JOIN l USING (id) WHERE id NOT IN (SELECT p FROM l) GROUP BY a)
+  SELECT l.id AS community_id, CAST(greatest(coalesce(s, 0), m) AS BIGINT) AS subtree_size FROM l LEFT JOIN s ON s.a = l.id""")
+def community_subtree_size(spark, d):
+    c = read(spark, d, "communities")
+    n = c.where("community_id is not null").groupBy("community_id").agg(F.max(F.struct("detected_at", F.coalesce("member_count", F.lit(0)).alias("m"))).alias("r")).select("community_id", F.col("r.m").alias("member_count"))
+    return communities.subtree_sizes(hierarchies(current_links(c, "community_id", "parent_id", "detected_at")), n)
+
+
 # ---- evaluation ----
 
 
