@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from millrace.llm.trigrams import TrigramIndex, required_trigrams
 
 _NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|signing[_-]?key|license[_-]?key|licence[_-]?key|private[_-]?key|secret[_-]?key|auth[_-]?key|encryption[_-]?key|bearer|credentials?)"
-_VALUE = r"[^\s\"'`<>(){}\[\],;\\]"
+_VALUE = r"[^\s\"'`]"
+#: In comments, values end where code would go on.
+_BARE = re.compile(r"[^\s\"'`<>(){}\[\],;\\]+")
 #: Rules: name, pattern; the group `v` is the secret. Names are compared without regard to case.
 RULES = {
     "private_key": r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----",
     "url": r"[A-Za-z][\w+.-]*://[^\s:/@\"'`]*:(?P<v>[^\s/\"'`]+)@[\w.-]",
     "connection": r"(?:password|pwd)\s*=\s*(?P<v>[^;\"'`\s]+)\s*;|;\s*(?:password|pwd)\s*=\s*(?P<v2>[^;\"'`\s]+)",
     "header": r"(?:authorization|x-[a-z-]*(?:key|token))[\"'`]?\s*[:=,]\s*[\"'`]?(?:(?:basic|bearer|token)\s+)?(?P<v>[^\s\"'`]+)",
-    "quoted": r"(?<![A-Za-z])(?P<k>[\w.-]*" + _NAME + r")(?:_?\d+)?[\"'`]?\]?\s*(?::\s*[A-Za-z_][\w.<>\[\]| ]*?)?\s*(?:=>|:=|==?|:|,)\s*(?:[A-Za-z]{0,3})(?P<q>\"\"\"|'''|[\"'`])(?P<v>[^\"'`\n]*)(?P=q)?",
+    "quoted": r"(?<![A-Za-z])(?P<k>[\w.-]*" + _NAME + r")(?:_?\d+)?[\"'`]?\]?\s*(?::\s*[A-Za-z_][\w.<>\[\]| ]*?)?\s*(?:=>|:=|==?|:|,)\s*(?:[A-Za-z]{0,3})(?P<q>\"\"\"|'''|[\"'`])(?P<v>(?:(?!(?P=q))[^\n])*)(?P=q)?",
     "plain": r"(?P<k>[\w.-]*" + _NAME + r")(?:_?\d+)?[\"']?\s*(?:=>|:=|=|:)\s*(?P<v>" + _VALUE + r"+)\s*(?:[#;].*)?$",
     "prose": r"\b(?:[\w-]*" + _NAME + r"|log[io]n|api key)\b(?P<v>[^\n]*)",
     "jwt": r"(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
@@ -132,6 +134,8 @@ def find_secrets(text: str, settings: bool, rules: set[str] | None = None) -> li
                         continue
                 elif not looks_live(value) or g.get("k") and _NOT_SECRET_NAME.search(g["k"]):
                     continue
+                if rule == "plain" and not settings and not _BARE.fullmatch(value):
+                    continue
                 spans = [(i, a, z)]
                 if rule == "quoted":
                     # pieces joined by + belong to the same secret
