@@ -199,3 +199,23 @@ def test_subjects(spark):
     assert document_subjects(ddf.limit(0), ldf, areas).count() == 0
     assert {r.subject for r in document_subjects(ddf, ldf.limit(0), areas).collect()} == {"software"}
     assert sentences("# a.\nOne two. Three!\nno end\n```\ncode.\n```\n- four?") == ["One two.", "Three!", "- four?"]
+
+
+def test_leaves_are_labelled_by_their_terms_and_enter_the_assignment(spark):
+    from millrace.llm import subjects as S
+
+    number = S._Ids()
+    texts = {0: "The court heard a shared claim.", 1: "The violin met a shared tempo.", 2: "The queue met a cache."}
+    rows = [(10 * i + k, text, k) for k, text in texts.items() for i in range(8)] + [(200, "A shared word.", 0), (201, "A shared word.", 1), (202, "A shared word.", 2), (203, "A shared word.", None)]
+    parsed = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id bigint, text string").mapInArrow(S._parse, S._PARSED)
+    parsed = parsed.join(spark.createDataFrame([(d, k) for d, _, k in rows], "doc_id bigint, leaf int"), "doc_id").select(*parsed.columns, "leaf")
+    terms = sorted([(number["court"], [3.0, 0.0]), (number["violin"], [0.0, 3.0]), (number["shared"], [1.0, 1.0])])
+    lex = {"en": (np.array([t for t, _ in terms]), np.array([w for _, w in terms]))}
+    mix = S.leaf_mixtures(parsed, lex, 2)
+    assert mix[0][0] > 0.5 > mix[0][1] and mix[1][1] > 0.5 > mix[1][0] and 2 not in mix and -1 not in mix
+    at = {r.doc_id: r for r in parsed.where("doc_id >= 200").collect()}
+    for doc, want in ((200, 0), (201, 1), (202, 2), (203, 2)):
+        import pyarrow as pa
+
+        b = pa.RecordBatch.from_pylist([at[doc].asDict()], schema=pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(c, pa.list_(pa.int32())) for c in ("lens", "ids", "opens")], ("leaf", pa.int32())]))
+        assert S.classify(S._Batch(b), lex, 2, mix).tolist() == [want]
