@@ -74,25 +74,46 @@ def _random_word(v: str) -> bool:
     return sum(a != b for a, b in zip(kinds, kinds[1:])) >= 3
 
 
-def _key_block(lines: list[str], at: int) -> list[tuple[int, int, int]]:
-    """Spans of the body of a private key, up to its END line or the end of the text."""
-    spans, col = [], lines[at].index("-----BEGIN")
+#: A line of a key's body, bare or as a piece of a comment or of a joined string.
+_KEY_LINE = re.compile(r"(?:\s|//\s|[#*>|\"'`(]|[+.,]\s*(?=[\"'`]))*(?P<v>[A-Za-z0-9+/=]+)(?:\\[nr])*[\s\"'`)+,;.\\]*$")
+_KEY_HEAD = re.compile(r"[\s\"'`#*>|/]*[A-Za-z][A-Za-z-]*: ")
+_KEY_REST = re.compile(r"[A-Za-z0-9+/=]{8,}(?:[A-Za-z0-9+/=]|\\[nr]| (?=[A-Za-z0-9+/=]{8}))*")
+#: Of a key without an END line, lines of at least so many characters are body, and one shorter line after them.
+_FULL_LINE = 16
+
+
+def _key_block(lines: list[str], at: int) -> tuple[list[tuple[int, int, int]], int]:
+    """Spans of the body of a private key, and the line after it. The key goes up to its END line, else up to the first line that
+    is not body, as where the text is cut inside the key or only names the marker."""
+    spans, col = [], _RE["private_key"].search(lines[at]).start()
     rest = lines[at][col:]
     head = re.match(r"-----BEGIN [^-]*-----", rest).end()
     end = rest.find("-----END")
     if end >= 0:
-        return [(at, col + head, col + end)]
-    if rest[head:].strip(" \"'`\\,;)"):
-        spans.append((at, col + head, len(lines[at])))
-    for j in range(at + 1, min(len(lines), at + 200)):
+        return [(at, col + head, col + end)], at + 1
+    if m := _KEY_REST.search(rest, head):
+        spans.append((at, col + m.start(), col + m.end()))
+    body = []
+    for j in range(at + 1, len(lines)):
         stop = lines[j].find("-----END")
-        body = lines[j] if stop < 0 else lines[j][:stop]
-        m = re.search(r"[A-Za-z0-9+/=]{8,}", body)
+        line = lines[j] if stop < 0 else lines[j][:stop]
+        m = _KEY_LINE.match(line)
         if m:
-            spans.append((j, m.start(), m.end()))
-        if stop >= 0 or not (m or body.strip() == "" or ":" in body):
+            body.append((j, m.start("v"), m.end("v")))
+        if stop >= 0:
+            return spans + body, j + 1
+        if not (m or line.strip(" \t\r\"'`#*>|/") == "" or _KEY_HEAD.match(line)):
             break
-    return spans
+    after = at + 1
+    for j, a, z in body:
+        full = z - a >= _FULL_LINE
+        if not full and (after == at + 1 or not re.search(r"[A-Z0-9+/=]", lines[j][a:z])):
+            break
+        spans.append((j, a, z))
+        after = j + 1
+        if not full:
+            break
+    return spans, after
 
 
 def find_secrets(text: str, settings: bool, rules: set[str] | None = None) -> list[tuple[int, str, list[tuple[int, int, int]]]]:
@@ -100,14 +121,13 @@ def find_secrets(text: str, settings: bool, rules: set[str] | None = None) -> li
     rules = set(RULES) if rules is None else rules
     out: dict[int, tuple[str, list]] = {}
     lines = text.split("\n")
-    inside = False
+    after = 0
     for i, line in enumerate(lines):
-        if "private_key" in rules and _RE["private_key"].search(line):
-            out[i] = ("private_key", _key_block(lines, i))
-            inside = "-----END" not in line
+        if i < after:
             continue
-        if inside:
-            inside = "-----END" not in line
+        if "private_key" in rules and _RE["private_key"].search(line):
+            spans, after = _key_block(lines, i)
+            out[i] = ("private_key", spans)
             continue
         comment = bool(_COMMENT.match(line))
         for rule in ("url", "connection", "header", "quoted", "plain", "jwt", "vendor", "prose"):
