@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 
@@ -19,7 +21,11 @@ class Bad(Exception):
         self.pos, self.message = pos, message
 
 
-#: Errors stored per file; a file of prose has one on nearly every line, and the first is the cause.
-MOST_STORED = 1000
+def at_lines(text: str, found: list[tuple[int, str]]) -> list[Problem]:
+    """All errors (position, message) of a text with their lines; the text is read for line ends once."""
+    ends = [m.start() for m in re.finditer("\n", text)] if found else []
+    return [Problem(bisect_left(ends, pos) + 1, message) for pos, message in found]
+
+
 #: Nesting beyond which a file is refused, as compilers do.
 MOST_NESTED = 180

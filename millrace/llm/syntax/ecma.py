@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from millrace.llm.syntax.base import MOST_NESTED, MOST_STORED, Bad, Problem
+from millrace.llm.syntax.base import MOST_NESTED, Bad, Problem, at_lines
 
 #: Reserved words and binary operators with their precedence (fixed values).
 RESERVED = frozenset("break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split())
@@ -129,8 +129,7 @@ class _Parser:
         try:
             self.statement()
         except Bad as e:
-            if len(self.found) < MOST_STORED:
-                self.found.append((e.pos, e.message))
+            self.found.append((e.pos, e.message))
             self.deep, self.functions, self.loops = depth
             self.no_in = False
             if self.start == a:
@@ -1482,4 +1481,4 @@ def problems(text: str, ts: bool, jsx: bool) -> list[Problem]:
     except RecursionError:
         p.found.append((p.start, "too deep"))
     found = sorted(set(p.found))
-    return [Problem(text.count("\n", 0, a) + 1, m) for a, m in found[:MOST_STORED]]
+    return at_lines(text, found)

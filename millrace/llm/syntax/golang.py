@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from millrace.llm.syntax.base import MOST_NESTED, MOST_STORED, Bad, Problem
+from millrace.llm.syntax.base import MOST_NESTED, Bad, Problem, at_lines
 
 #: Reserved words and binary operators with their precedence (fixed values).
 KEYWORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
@@ -124,8 +124,7 @@ class _Parser:
                     self.declaration()
                 self.end()
             except Bad as e:
-                if len(self.found) < MOST_STORED:
-                    self.found.append((e.pos, e.message))
+                self.found.append((e.pos, e.message))
                 if self.i == start:
                     self.i += 1
                 self.skip()
@@ -696,4 +695,4 @@ def problems(text: str) -> list[Problem]:
     except RecursionError:
         p.found.append((0, "too deep"))
     found = sorted(set(p.found))
-    return [Problem(text.count("\n", 0, a) + 1, m) for a, m in found[:MOST_STORED]]
+    return at_lines(text, found)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from millrace.llm.syntax.base import MOST_NESTED, MOST_STORED, Bad, Problem
+from millrace.llm.syntax.base import MOST_NESTED, Bad, Problem, at_lines
 
 #: Reserved words and operators of the language (fixed values).
 KEYWORDS = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
@@ -262,8 +262,7 @@ class _Parser:
                 return
             self.statement()
         except Bad as e:
-            if len(self.found) < MOST_STORED:
-                self.found.append((e.pos, e.message))
+            self.found.append((e.pos, e.message))
             while self.kind not in ("NEWLINE", "END"):
                 self.i += 1
             if self.kind == "NEWLINE":
@@ -942,4 +941,4 @@ def problems(text: str) -> list[Problem]:
     if "\0" in text:
         parser.found.append((text.index("\0"), "null bytes"))
     found = sorted({*lexer.problems, *parser.found})
-    return [Problem(text.count("\n", 0, p) + 1, m) for p, m in found[:MOST_STORED]]
+    return at_lines(text, found)

@@ -15,7 +15,7 @@ _CHECKED = "repo string, path string, language string, accepted boolean, first_l
 
 def check_files(files: DataFrame) -> DataFrame:
     """`_CHECKED` for every row of files (repo, path, text) whose suffix is judged: accepted, the first error as the cause, and
-    all errors up to `syntax.base.MOST_STORED`.
+    all errors.
 
     A null or empty text parses. Rows with a null path and other suffixes give no row; repeated rows are checked again.
     Nesting deeper than compilers allow is an error, so that no text can exhaust the stack.
