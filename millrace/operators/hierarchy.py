@@ -238,3 +238,11 @@ def descendants(tree: DataFrame) -> DataFrame:
     no node's descendants are ever gathered in one row or task."""
     pairs = tree.where("path is not null").select(F.col("id").alias("descendant_id"), "depth", F.posexplode("path").alias("at", "ancestor_id"))
     return pairs.where("at < depth").select("ancestor_id", "descendant_id", (F.col("depth") - F.col("at")).cast("int").alias("distance"))
+
+
+def loop_hierarchies(tree: DataFrame, component_cap: int = 200_000, bundle_rows: int = 50_000) -> DataFrame:
+    """`HIERARCHY_SCHEMA` for the nodes of tree on and under loops, each loop cut at its back edge: the node that the edge leaves
+    is the top, path, depth and n_descendants count from there. root_id is null; outcome, cycle_id and is_back_edge stay."""
+    loops = written(tree.where("cycle_id is not null").select("id", "parent_id", "outcome", "root_id", "cycle_id", "is_back_edge"), "loops")
+    cut = hierarchies(loops.select("id", F.when(~F.col("is_back_edge"), F.col("parent_id")).alias("parent_id")), component_cap, bundle_rows)
+    return loops.join(cut.select("id", "depth", "path", "n_descendants"), "id").select("id", "parent_id", "outcome", "root_id", "depth", "path", "n_descendants", "cycle_id", "is_back_edge")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.changes import ChangeFeed, latest_by, trusted_state
-from millrace.operators.hierarchy import current_links, descendants, hierarchies
+from millrace.operators.hierarchy import current_links, descendants, hierarchies, loop_hierarchies
 from millrace.operators.orphans import live_keys, orphan_counts, orphan_references
 from millrace.queries.tables import read
 from millrace.session import fresh_path, written
@@ -36,6 +36,18 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(written(_tree(spark, d), "tree"))
 
 
+def p1_loop_paths(spark: SparkSession, d: str) -> DataFrame:
+    """What p1_paths leaves out: the communities on and under loops, from the top that is left when each loop is cut."""
+    t = loop_hierarchies(_tree(spark, d))
+    path = F.concat_ws("/", F.col("path").cast("array<string>")).alias("full_path")
+    return t.select(F.col("id").alias("community_id"), "root_id", "depth", path, "n_descendants", "outcome", "cycle_id")
+
+
+def p1_loop_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """What p1_descendants leaves out: the pairs on and under loops."""
+    return descendants(written(loop_hierarchies(_tree(spark, d)), "loop_tree"))
+
+
 def p1_back_edges(spark: SparkSession, d: str) -> DataFrame:
     t = _tree(spark, d).where("is_back_edge")
     return t.select(F.col("id").alias("community_id"), "parent_id", "cycle_id")
@@ -88,7 +100,7 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphan_counts(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_back_edges, p2_found, p2_batches, p3_found, p3_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_loop_paths, p1_loop_descendants, p1_back_edges, p2_found, p2_batches, p3_found, p3_counts)}
 
 _LINKS = """links AS (SELECT community_id AS id, CASE WHEN r.p = 0 THEN NULL ELSE r.p END AS p FROM (
   SELECT community_id, max({'v': detected_at, 'p': coalesce(parent_id, 0)}) AS r FROM communities
