@@ -9,7 +9,6 @@ from millrace.llm.leakage import leaked_phrases, near_terms, words_of
 from millrace.llm.mixing import mix, split_blocks, token_counts
 from millrace.llm.provenance import label_files
 from millrace.llm.secrets import RULES, detect, find_secrets, looks_live
-from millrace.llm.subjects import document_subjects, sentences
 from millrace.llm.trigrams import TrigramIndex, required_trigrams
 
 
@@ -167,55 +166,3 @@ def test_token_counts(spark):
     t = Tokenizer.from_file(str(P.path("byte_bpe_50k.json")))
     t.encode_special_tokens = True
     assert got == {x: 0 if x is None else len(t.encode(x, add_special_tokens=False).ids) for x in texts}
-
-
-# ---- subjects ----
-
-
-def test_subjects(spark):
-    rng = random.Random(5)
-    terms = {"law": "court verdict plaintiff statute appeal clause".split(), "music": "violin orchestra melody chord tempo choir".split()}
-    docs, labels, truth = [], [], {}
-    for i in range(300):
-        kind = rng.choice(["law", "music", "both", "none"])
-        ss = []
-        for k in range(8):
-            s = {"law": "law", "music": "music", "both": ["law", "music"][k % 2], "none": None}[kind]
-            w = rng.sample(terms[s], 2) if s else ["queue", "cache"]
-            ss.append(f"The {w[0]} table keeps a {rng.choice(['red', 'blue', 'late', 'open'])} link to each {w[1]} in the run_{k}() view.")
-        docs.append((i, "# head\n\n" + " ".join(ss) + "\n\n```\nviolin violin violin.\n```\n"))
-        truth[i] = {"both": {"law", "music"}, "none": {"software"}}.get(kind, {kind})
-        if i % 3 == 0:
-            labels += [(i, s, 1) for s in truth[i]]
-    docs += [(900, " \n"), (901, None), (902, "Heading only")]
-    areas = spark.createDataFrame([("law", ""), ("music", ""), ("software", ""), ("sport", "")], "subject string, description string")
-    ddf, ldf = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels + labels[:3] + [(1, "unknown", 1), (99999, "law", 1)], "doc_id bigint, subject string, annotator_id int")
-    got = {}
-    for r in document_subjects(ddf, ldf, areas, leaves=8).collect():
-        got.setdefault(r.doc_id, set()).add(r.subject)
-    held = [i for i in truth if i % 3]
-    assert sum(got[i] == truth[i] for i in held) >= 0.9 * len(held)
-    assert 900 not in got and 901 not in got and got[902] == {"software"}
-    assert document_subjects(ddf.limit(0), ldf, areas).count() == 0
-    assert {r.subject for r in document_subjects(ddf, ldf.limit(0), areas).collect()} == {"software"}
-    assert sentences("# a.\nOne two. Three!\nno end\n```\ncode.\n```\n- four?") == ["One two.", "Three!", "- four?"]
-
-
-def test_leaves_are_labelled_by_their_terms_and_enter_the_assignment(spark):
-    from millrace.llm import subjects as S
-
-    number = S._Ids()
-    texts = {0: "The court heard a shared claim.", 1: "The violin met a shared tempo.", 2: "The queue met a cache."}
-    rows = [(10 * i + k, text, k) for k, text in texts.items() for i in range(8)] + [(200, "A shared word.", 0), (201, "A shared word.", 1), (202, "A shared word.", 2), (203, "A shared word.", None)]
-    parsed = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id bigint, text string").mapInArrow(S._parse, S._PARSED)
-    parsed = parsed.join(spark.createDataFrame([(d, k) for d, _, k in rows], "doc_id bigint, leaf int"), "doc_id").select(*parsed.columns, "leaf")
-    terms = sorted([(number["court"], [3.0, 0.0]), (number["violin"], [0.0, 3.0]), (number["shared"], [1.0, 1.0])])
-    lex = {"en": (np.array([t for t, _ in terms]), np.array([w for _, w in terms]))}
-    mix = S.leaf_mixtures(parsed, lex, 2)
-    assert mix[0][0] > 0.5 > mix[0][1] and mix[1][1] > 0.5 > mix[1][0] and 2 not in mix and -1 not in mix
-    at = {r.doc_id: r for r in parsed.where("doc_id >= 200").collect()}
-    for doc, want in ((200, 0), (201, 1), (202, 2), (203, 2)):
-        import pyarrow as pa
-
-        b = pa.RecordBatch.from_pylist([at[doc].asDict()], schema=pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(c, pa.list_(pa.int32())) for c in ("lens", "ids", "opens")], ("leaf", pa.int32())]))
-        assert S.classify(S._Batch(b), lex, 2, mix).tolist() == [want]
