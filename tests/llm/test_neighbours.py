@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.llm.neighbours import Params, encode, exact_nearest, fit, nearest, pack, table_scan, usable_vectors
+from millrace.llm.neighbours import Params, _best, encode, exact_nearest, fit, from_24_bits, nearest, pack, table_scan, to_24_bits, usable_vectors
 
 
 def table(spark, x, ns="a"):
@@ -29,6 +29,10 @@ def test_full_partitions_are_cut_into_blocks(spark):
     assert recall(spark, clusters(900), Params(block_rows=150, leaf_rows=500)) >= 0.9
 
 
+def test_two_levels_of_centres(spark):
+    assert recall(spark, clusters(3000), Params(leaf_rows=60, flat_leaves=8)) >= 0.85
+
+
 def test_anisotropic_codes_lower_the_parallel_error():
     x = clusters(2000, 32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -42,6 +46,16 @@ def test_anisotropic_codes_lower_the_parallel_error():
     codes = encode(x, ix.books, np.float32(ix.weight))
     recon = np.stack([ix.books[j][codes[:, j]] for j in range(16)], 1).reshape(2000, 32)
     assert np.allclose(table_scan(x[:7], pack(codes), ix.books), recon @ x[:7].T, atol=1e-4)
+    looked_up = sum(np.einsum("qd,cd->cq", x[:7].reshape(7, 16, 2)[:, j], ix.books[j])[codes[:, j]] for j in range(16))
+    assert np.allclose(table_scan(x[:7], pack(codes), ix.books), looked_up, atol=1e-4)
+
+
+def test_packing_and_selection():
+    rng = np.random.default_rng(1)
+    x = rng.uniform(-1, 1, (50, 6))
+    assert np.abs(from_24_bits(to_24_bits(x)) / (2**23 - 1) - x).max() < 1e-7
+    s = rng.standard_normal((20, 5000)).astype(np.float32)
+    assert all(set(a) == set(b) for a, b in zip(_best(s, 30).tolist(), np.argsort(-s, axis=1)[:, :30].tolist()))
 
 
 def test_equal_vectors_ties_small_and_empty(spark):
