@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from millrace.llm.syntax import ecma, golang, python
-from millrace.llm.syntax.base import Problem
+from millrace.llm.syntax.base import Problem, deep
 
 #: Language of each suffix (fixed values).
 LANGUAGE = {".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go"}
@@ -19,8 +19,9 @@ def problems(text: str, path: str) -> list[Problem] | None:
     suffix = suffix_of(path)
     if suffix not in LANGUAGE:
         return None
-    if suffix in (".py", ".pyi"):
-        return python.problems(text)
-    if suffix == ".go":
-        return golang.problems(text.removeprefix("﻿"))
-    return ecma.problems(text.removeprefix("﻿"), suffix in (".ts", ".tsx"), suffix != ".ts")
+    with deep():
+        if suffix in (".py", ".pyi"):
+            return python.problems(text)
+        if suffix == ".go":
+            return golang.problems(text.removeprefix("﻿"))
+        return ecma.problems(text.removeprefix("﻿"), suffix in (".ts", ".tsx"), suffix != ".ts")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_left
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 
@@ -27,5 +29,19 @@ def at_lines(text: str, found: list[tuple[int, str]]) -> list[Problem]:
     return [Problem(bisect_left(ends, pos) + 1, message) for pos, message in found]
 
 
-#: Nesting beyond which a file is refused, as compilers do.
-MOST_NESTED = 180
+#: Nesting beyond which a file is refused: the limit of Go's own parser. JavaScript and TypeScript set none; for them it only
+#: keeps a text from taking all memory.
+MOST_NESTED = 100_000
+#: Frames a level of nesting may take. Python code calling Python code takes no machine stack, so this is bounded by memory only.
+FRAMES = 30
+
+
+@contextmanager
+def deep():
+    """Room for as deep a descent as MOST_NESTED asks for."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, MOST_NESTED * FRAMES))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)

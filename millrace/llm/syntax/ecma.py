@@ -33,6 +33,7 @@ class _Parser:
         self.deep = self.functions = self.loops = self.asyncs = self.generators = 0
         self.no_in = False
         self.end = 0
+        self.closed: dict[int, int] = {}
         self.pos = re.match(r"#![^\n]*", text).end() if text.startswith("#!") else 0
         self.next()
 
@@ -701,29 +702,36 @@ class _Parser:
         """Whether the parenthesis here is closed before an arrow, a colon or a brace of a body."""
         if self.is_("<"):
             return True
-        text, i, depth, n = self.text, self.start, 0, len(self.text)
-        while i < n:
-            c = text[i]
-            if c in "([{":
-                depth += 1
-            elif c in ")]}":
-                depth -= 1
-                if not depth:
-                    j = _SPACE.match(text, i + 1).end()
-                    return text.startswith("=>", j) or self.ts and text.startswith(":", j)
-            elif c in "\"'`":
+        text, i, n = self.text, self.start, len(self.text)
+        if i not in self.closed:
+            open_at: list[int] = []  # what opens on the way is closed on the way, so that nesting is read once
+            while i < n:
+                c = text[i]
+                if c in "([{":
+                    open_at.append(i)
+                elif c in ")]}":
+                    self.closed[open_at.pop()] = i
+                    if not open_at:
+                        break
+                elif c in "\"'`":
+                    i += 1
+                    while i < n and text[i] != c:
+                        i += 2 if text[i] == "\\" else 1
+                elif c == "/" and text[i + 1 : i + 2] in ("/", "*"):
+                    i = _SPACE.match(text, i).end()
+                    continue
                 i += 1
-                while i < n and text[i] != c:
-                    i += 2 if text[i] == "\\" else 1
-            elif c == "/" and text[i + 1 : i + 2] in ("/", "*"):
-                i = _SPACE.match(text, i).end()
-                continue
-            i += 1
-        return False
+            for k in open_at:
+                self.closed[k] = n
+        end = self.closed[self.start]
+        if end >= n:
+            return False
+        j = _SPACE.match(text, end + 1).end()
+        return text.startswith("=>", j) or self.ts and text.startswith(":", j)
 
     def assignment(self):
         self.deep += 1
-        if self.deep > MOST_NESTED * 2:
+        if self.deep > MOST_NESTED:
             self.fail("too deep")
         try:
             return self.assignment_()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from millrace.llm.syntax.base import MOST_NESTED, Bad, Problem, at_lines
+from millrace.llm.syntax.base import Bad, Problem, at_lines
 
 #: Reserved words and operators of the language (fixed values).
 KEYWORDS = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
@@ -22,6 +22,10 @@ _TOKEN = re.compile(
 )
 
 
+#: The language's own limits: open brackets, and levels of indentation with the outermost.
+MOST_BRACKETS, MOST_INDENTS = 200, 100
+
+
 class _Lexer:
     def __init__(self, text: str):
         self.text, self.tokens, self.problems = text, [], []
@@ -57,6 +61,8 @@ class _Lexer:
                         break
                 if col > indents[-1]:
                     indents.append(col)
+                    if len(indents) > MOST_INDENTS:
+                        self.bad(pos, "too many levels of indentation")
                     out.append(("INDENT", "", pos))
                 while col < indents[-1]:
                     indents.pop()
@@ -95,7 +101,7 @@ class _Lexer:
             elif kind == "op":
                 if s in "([{":
                     depth.append((s, pos))
-                    if len(depth) > MOST_NESTED:
+                    if len(depth) > MOST_BRACKETS:
                         self.bad(pos, "too many nested brackets")
                 elif s in ")]}":
                     if not depth or "([{".index(depth[-1][0]) != ")]}".index(s):

@@ -75,3 +75,14 @@ def test_files(spark, n):
     names = spark.createDataFrame([("r", "b.py", "Py"), ("r", "b.py", "PYTHON "), ("r", "b.py", None)], "repo string, path string, language string")
     assert {(r.repo, r.language): r.n_failed for r in rates(got, names).collect()}["r", "python"] == 1
     assert check_files(df.limit(0)).count() == 0 and rates(check_files(df.limit(0))).count() == 0
+
+
+def test_nesting_is_limited_as_the_languages_do():
+    n = 3000
+    for text, path in (("x=" + "a?b:" * n + "c", "a.js"), ("x=" + "(" * n + "1" + ")" * n, "a.js"), ("{" * n + "}" * n, "a.js"), ("let x:" + "[" * n + "A" + "]" * n, "a.ts"), ("x=" + "<a>" * n + "</a>" * n, "a.jsx"), ("package a\nvar x = " + "(" * n + "1" + ")" * n, "a.go"), ("package a\nvar x = T{" + "{" * n + "}" * n + "}", "a.go")):
+        assert problems(text, path) == [], text[:20]
+    assert problems("x=" + "(" * n, "a.js")
+    for k, fine in ((199, True), (200, True), (201, False)):
+        assert (problems("x = " + "(" * k + "1" + ")" * k, "a.py") == []) is fine, k
+    for k, fine in ((99, True), (100, False)):
+        assert (problems("".join(" " * i + "if a:\n" for i in range(k)) + " " * k + "pass\n", "a.py") == []) is fine, k
