@@ -94,23 +94,29 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generat
 def encode(x: np.ndarray, books: np.ndarray, weight: float, passes: int = 2) -> np.ndarray:
     """Codes (rows x subspaces) of unit vectors: coordinate descent on |r|^2 + weight * <r, x>^2, r the residual."""
     n, s = len(x), len(books)
-    xs = x.reshape(n, s, 2)
-    codes = np.empty((n, s), np.uint8)
-    par = np.empty((n, s), x.dtype)  # each subspace's share of <r, x>
-    for j in range(s):
-        d = ((xs[:, j, None, :] - books[j]) ** 2).sum(2)
-        codes[:, j] = d.argmin(1)
-        par[:, j] = ((xs[:, j] - books[j][codes[:, j]]) * xs[:, j]).sum(1)
-    total = par.sum(1)
-    for _ in range(passes):
-        for j in range(s):
-            r = xs[:, j, None, :] - books[j]
-            p = (r * xs[:, j, None, :]).sum(2)
-            rest = total - par[:, j]
-            codes[:, j] = ((r**2).sum(2) + weight * (rest[:, None] + p) ** 2).argmin(1)
-            par[:, j] = p[np.arange(n), codes[:, j]]
-            total = rest + par[:, j]
-    return codes
+    out = np.empty((n, s), np.uint8)
+    b2 = (books**2).sum(2)
+    for a in range(0, n, 1024):
+        xs = np.ascontiguousarray(x[a : a + 1024].reshape(-1, s, 2).transpose(1, 0, 2))
+        rows = np.arange(xs.shape[1])
+        x2 = (xs**2).sum(2)[:, :, None]
+        dot = np.matmul(xs, books.transpose(0, 2, 1))  # subspaces x rows x entries, of which all else is made
+        size, share = x2 - 2 * dot + b2[:, None, :], x2 - dot  # of the residual, and its product with the vector
+        codes = size.argmin(2)
+        par = np.take_along_axis(share, codes[:, :, None], 2)[:, :, 0]
+        total = par.sum(0)
+        for _ in range(passes):
+            for j in range(s):
+                rest = total - par[j]
+                cost = share[j] + rest[:, None]
+                cost *= cost
+                cost *= weight
+                cost += size[j]
+                codes[j] = cost.argmin(1)
+                par[j] = share[j][rows, codes[j]]
+                total = rest + par[j]
+        out[a : a + 1024] = codes.T
+    return out
 
 
 def fit(sample: np.ndarray, n_rows: int, p: Params, seed: int = 7) -> Index:
@@ -222,10 +228,12 @@ def _best(scores: np.ndarray, m: int, group: int = 16) -> np.ndarray:
     for k in range(1, group):
         part = scores[:, k * wide : (k + 1) * wide]
         np.maximum(top[:, : part.shape[1]], part, out=top[:, : part.shape[1]])
-    groups = np.argpartition(-top, m - 1, axis=1)[:, :m]
-    cand = (groups[:, :, None] + wide * np.arange(group)).reshape(len(scores), -1)
-    value = np.where(cand < n, np.take_along_axis(scores, np.minimum(cand, n - 1), 1), -np.inf)
-    return np.take_along_axis(cand, np.argpartition(-value, m - 1, axis=1)[:, :m], 1)
+    groups = np.argpartition(top, wide - m, axis=1)[:, wide - m :].astype(np.int32)
+    cand = (groups[:, :, None] + np.arange(0, wide * group, wide, dtype=np.int32)).reshape(len(scores), -1)
+    value = np.take_along_axis(scores, np.minimum(cand, n - 1), 1)
+    if wide * group > n:
+        value[cand >= n] = -np.inf
+    return np.take_along_axis(cand, np.argpartition(value, value.shape[1] - m, axis=1)[:, -m:], 1)
 
 
 def block_pairs(ask: np.ndarray, of: np.ndarray, rank: np.ndarray, x: np.ndarray, recon: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,10 +246,11 @@ def block_pairs(ask: np.ndarray, of: np.ndarray, rank: np.ndarray, x: np.ndarray
         return none, none, np.empty(0)
     qs, cs, scores = [], [], []
     table, x32 = recon[of].T.copy(), x[ask].astype(np.float32)
-    step = max(16, min(512, (32 << 20) // (4 * len(of))))
+    step = max(16, min(512, (4 << 20) // (4 * len(of))))  # scores stay in the processor's cache
+    room = np.empty((step, len(of)), np.float32)
     for a in range(0, len(ask), step):
         q = ask[a : a + step]
-        approx = x32[a : a + step] @ table
+        approx = np.matmul(x32[a : a + step], table, out=room[: len(q)])
         if same:
             approx[np.arange(len(q)), np.arange(a, a + len(q))] = -np.inf
         cand = of[_best(approx, m)]

@@ -50,10 +50,10 @@ def p4_recall(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p4_exact, p4_recall)}
 
 _USABLE = """
-select '{ns}' as vec_set, key, list_transform(r.vec, x -> x / sqrt(list_sum(list_transform(r.vec, y -> y * y)))) as vec from (
+select '{ns}' as vec_set, key, list_transform(r.vec, lambda x: x / sqrt(list_sum(list_transform(r.vec, lambda y: y * y)))) as vec from (
   select key, max({{'since': since, 'vec': vec}}) as r from (
-    select cast({key} as varchar) as key, created_at as since, list_transform(vector, x -> cast(x as double)) as vec from {table}
-    where {key} is not null and model = 'codevec-64' and len(vector) = 64 and len(list_filter(vector, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, x -> x <> 0)) > 0
+    select cast({key} as varchar) as key, created_at as since, list_transform(vector, lambda x: cast(x as double)) as vec from {table}
+    where {key} is not null and model = 'codevec-64' and len(vector) = 64 and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0
   ) group by key
 )"""
 
