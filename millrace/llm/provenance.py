@@ -1,9 +1,11 @@
 """Which source files are hand-written, and which are generated, minified, vendored or data blobs.
 
-Every chunk gives evidence (comment markers, line shapes, repetition, word shingles shared with known upstream files), which is
-added up per file. Labels are then inferred by belief propagation (sum-product) over the directory tree of each repository:
-a file holds its evidence, and a directory favours like labels among its children and with its parent. A tree needs one pass
-up and one down; each pass is one aggregation per level of depth, so a repository of any size is never held in one task.
+Every chunk gives evidence (comment markers, line shapes, literals, numbered names, word shingles shared with known upstream
+files), which is added up per file and graded as log-odds. Labels are then inferred by belief propagation (sum-product) over the
+directory tree of each repository: a file holds its evidence, and a directory favours like labels among its children and with
+its parent. A file that names its tool or its origin, or is plainly data, is decided by itself; one with weak signs or none is
+decided with its neighbours. A tree needs one pass up and one down; each pass is one aggregation per level of depth, so a
+repository of any size is never held in one task.
 """
 
 from __future__ import annotations
@@ -17,11 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import small_rows, written
+from millrace.session import written
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
-#: Known third-party files are a fixed set; a larger one is refused rather than sent to every task.
-MOST_UPSTREAM = 100_000
 SHINGLE, SIMILAR = 5, 0.8
 #: Suffixes of programming languages; other files are settings or prose (fixed values).
 CODE = (".py", ".pyi", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".go", ".java", ".c", ".h", ".cpp", ".rs", ".rb", ".php", ".cs", ".kt", ".swift", ".scala")
@@ -46,96 +46,106 @@ _VENDORED = [
 _ORIGIN = re.compile(r"^\s*(?:(?:const|let|var|export const)\s+)?__?(?:package_)?origin__?\s*(?::=|=)\s*[\"'](?P<p>[\w./-]+)[\"']", re.I)
 
 
+#: A notice in the name of a team is a repository's own.
+_OWN_TEAM = re.compile(r"(?i)\bteam\W*$")
+
+
 def own_name(package: str, repo: str | None) -> bool:
     flat = lambda x: re.sub(r"[^a-z0-9]", "", (x or "").lower())
     return flat(package) == flat(repo) or flat(package).startswith(flat(repo)) and len(flat(repo)) > 3
 
 
-def _shape(line: str) -> str:
-    """A line with names, numbers and strings reduced to their kind."""
-    line = re.sub(r"\"[^\"]*\"|'[^']*'|`[^`]*`", "S", line)
-    line = re.sub(r"[A-Za-z_$][\w$]*", "n", line)
-    return re.sub(r"\d[\w.]*", "0", line).replace(" ", "")
+_STRING = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`")
+_IDENT = re.compile(r"[A-Za-z_$][\w$]*")
+_NUMBER = re.compile(r"\b\d[\w.]*")
+_NUMBERED = re.compile(r"(?m)^.*?(?:[A-Za-z]_?\d{2,}\b|\[\d{2,}\]|number=\d+)")
+_STATEMENT = re.compile(r"(?m)^\s*(?:async )?(?:def|class|func|function|return|if|for|while|try|switch|type|interface|with|raise|throw)\b|^\s*[^\s\"'\d\[(].*(?:=>|\)\s*\{?\s*$)")
+_MARKS = re.compile(r"[;{}()=]")
 
 
 def chunk_evidence(text: str, repo: str | None, shingles: dict[tuple, tuple[int, ...]]) -> dict:
-    lines = text.split("\n")
     marker = origin = 0
-    filled = [x for x in lines if x.strip()]
-    for x in filled:
-        c = _COMMENT.match(x)
-        if c:
+    code = []
+    for x in text.split("\n"):
+        if not (y := x.strip()):
+            continue
+        if not y[0].isalnum() and (c := _COMMENT.match(x)):
             body = c[1].strip()
             if _GENERATED.search(body):
                 marker = 1
             for p in _VENDORED:
                 m = p.search(body)
-                if m and not own_name(m["p"], repo) and not body.rstrip().endswith("team"):
+                if m and not own_name(m["p"], repo) and not _OWN_TEAM.search(body):
                     origin = 1
-        elif (m := _ORIGIN.match(x)) and not own_name(m["p"], repo):
-            origin = 1
-    code = [x for x in filled if not _COMMENT.match(x)]
+        else:
+            code.append(x)
+            if "rigin" in x.lower() and (m := _ORIGIN.match(x)) and not own_name(m["p"], repo):
+                origin = 1
     n_code = sum(map(len, code))
-    long_chars = sum(len(x) for x in code if len(x) > 220)
     # of long lines, those that are code without blanks, not one long text or number list
-    dense = sum(len(x) for x in code if len(x) > 220 and x.count(" ") < 0.06 * len(x) and len(re.findall(r"[;{}()=]", x)) > 0.04 * len(x))
-    shapes = Counter(_shape(x) for x in code)
-    numbered = sum(1 for x in code if re.search(r"[A-Za-z]_?\d{2,}\b|\[\d{2,}\]|number=\d+", x))
-    literal = sum(len(x) for x in code if re.fullmatch(r"\s*[\[({]*\s*(?:[\"'`][^\"'`]*[\"'`]|[-+\d.,xa-fA-FeE_\s\[\](){}:'\"/+=]+)[,;\s\])}]*", x) and len(x.strip()) > 2)
-    statements = sum(1 for x in code if re.match(r"\s*(?:async )?(?:def|class|func|function|return|if|for|while|try|switch|type|interface|with|raise|throw)\b|.*=>|.*\)\s*\{?\s*$", x) and not re.match(r"\s*[\"'\d\[(]", x))
+    dense = sum(len(x) for x in code if len(x) > 220 and x.count(" ") < 0.06 * len(x) and len(_MARKS.findall(x)) > 0.04 * len(x))
+    joined = "\n".join(code)
+    bare = _NUMBER.sub("0", _STRING.sub("S", joined))
+    names = _IDENT.findall(bare)
+    shapes = len({x.replace(" ", "") for x in _IDENT.sub("n", bare).split("\n")}) if code else 0
     words = _WORDS.findall(text)
     n_sh, best = max(0, len(words) - SHINGLE + 1), Counter()
-    for i in range(n_sh):
-        best.update(shingles.get(tuple(words[i : i + SHINGLE]), ()))
+    for w in zip(*(words[i:] for i in range(SHINGLE))):
+        if w in shingles:
+            best.update(shingles[w])
     return {
         "marker": marker,
         "origin": origin,
         "n_code": n_code,
-        "long_chars": long_chars,
         "dense": dense,
         "n_lines": len(code),
-        "n_shapes": len(shapes),
-        "numbered": numbered,
-        "literal": literal,
-        "statements": statements,
+        "n_shapes": shapes,
+        "numbered": len(_NUMBERED.findall(joined)),
+        # letters of names; what is longer than names are is data
+        "named": sum(len(x) for x in names if len(x) < 32) - names.count("S"),
+        "statements": len(_STATEMENT.findall(joined)),
         "n_shingles": n_sh,
         "shared": max(best.values(), default=0),
     }
 
 
-_FIELDS = ("marker", "origin", "n_code", "long_chars", "dense", "n_lines", "n_shapes", "numbered", "literal", "statements", "n_shingles", "shared")
-
-
-def file_potential(e: dict, path: str) -> list[float]:
-    """Log potentials of LABELS from a file's summed evidence and its name."""
-    low = path.lower()
-    code = low.endswith(CODE)
-    score = [2.0, 0.0, 0.0, 0.0, 0.0]
-    if e["marker"]:
-        score[1] += 7
-    if e["origin"]:
-        score[3] += 8
-    if e["n_shingles"] >= 8 and e["shared"] >= SIMILAR * e["n_shingles"]:
-        score[3] += 9
-    n = max(1, e["n_code"])
-    if code and e["dense"] > 0.5 * n and e["n_code"] > 300:
-        score[2] += 7
-        score[1] -= 2
-    if code and e["literal"] > 0.75 * n and e["statements"] <= 1 + 0.02 * e["n_lines"] and e["n_code"] > 400:
-        score[4] += 7
-    elif code and e["n_lines"] >= 12 and e["numbered"] > 0.3 * e["n_lines"] and e["n_shapes"] < 0.35 * e["n_lines"]:
-        score[1] += 6
-    if re.search(r"[._-](?:min|bundle)\.[a-z]+$", low):
-        score[2] += 0.5
-    if re.search(r"(?:_pb2?|_gen|\.g|\.generated|_generated)\.[a-z]+$|_pb2?_grpc\.", low):
-        score[1] += 0.5
-    if not code:
-        score = [score[0] + 4, score[1], -4.0, score[3], -4.0]
+_FIELDS = ("marker", "origin", "n_code", "dense", "n_lines", "n_shapes", "numbered", "named", "statements", "n_shingles", "shared")
+
+
+def _slope(x: np.ndarray, low: float, high: float, most: float) -> np.ndarray:
+    """Log-odds that rise from 0 at low to `most` at high, and fall alike below, by half as much at most."""
+    return np.clip((x - low) / (high - low), -0.5, 1) * most
+
+
+def file_potentials(e: dict[str, np.ndarray], paths: list[str]) -> np.ndarray:
+    """Log potentials (files x LABELS) from the files' summed evidence and their names. Evidence is graded: a file that names its
+    tool or its origin needs no neighbours, one that only looks like the output of a tool is decided with those beside it."""
+    low = [x.lower() for x in paths]
+    code = np.array([x.endswith(CODE) for x in low], bool)
+    n, lines = np.maximum(1, e["n_code"]), np.maximum(1, e["n_lines"])
+    enough = np.minimum(1, e["n_code"] / 400)  # small files show less
+    score = np.zeros((len(paths), len(LABELS)))
+    score[:, 0] = np.where(code, HAND, HAND + 4)
+    score[:, 1] = 7.0 * e["marker"]
+    repeats, numbered = 1 - e["n_shapes"] / lines, e["numbered"] / lines
+    score[:, 1] += np.where(code, enough * np.minimum(_slope(repeats, 0.3, 0.6, 6), _slope(numbered, 0.05, 0.5, 6)), 0)
+    score[:, 1] += [1.0 * bool(_TOOL_NAME.search(x)) for x in low]
+    score[:, 2] = np.where(code, enough * _slope(e["dense"] / n, 0.2, 0.6, 7), -4.0) + [0.5 * bool(_SMALL_NAME.search(x)) for x in low]
+    score[:, 3] = 8.0 * e["origin"] + np.minimum(1, e["n_shingles"] / 8) * np.maximum(0, _slope(e["shared"] / np.maximum(1, e["n_shingles"]), SIMILAR / 2, SIMILAR, 9))
+    literal = _slope(1 - e["named"] / n, 0.68, 0.88, 7) - 12 * np.minimum(0.5, e["statements"] / lines)
+    score[:, 4] = np.where(code, enough * literal, -4.0)
+    # lines of one literal repeat one shape; that is no sign of a tool
+    score[:, 1] -= np.where(code & (literal > 3) & (e["marker"] == 0), np.maximum(0, score[:, 1]), 0)
     return score
 
 
+_TOOL_NAME = re.compile(r"(?:_pb2?|\.pb|_gen|\.g|\.gen|\.generated|_generated)\.[a-z]+$|_pb2?_grpc\.")
+_SMALL_NAME = re.compile(r"[._-](?:min|bundle)\.[a-z]+$")
+#: Log-odds of a file without signs to be hand-written, before its neighbours are heard. It is less than LIKE, so that such a file
+#: among copies or outputs of a tool counts as one of them.
+HAND = 1.5
 #: Log-odds that a child has its directory's label rather than another, and the same between directories.
-LIKE = 0.6
+LIKE = 1.7
 
 
 def _send(belief: np.ndarray) -> np.ndarray:
@@ -215,7 +225,7 @@ def label_files(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
     left out. An empty file is handwritten. Empty tables give no rows; without upstream files only the other evidence counts.
     """
     known: dict[tuple, set[int]] = {}
-    for r in small_rows(upstream.where("text is not null").select("upstream_id", "text"), "the upstream files", MOST_UPSTREAM):
+    for r in upstream.where("text is not null").select("upstream_id", "text").toLocalIterator():  # a fixed table, as its problem states
         words = _WORDS.findall(r.text)
         for i in range(len(words) - SHINGLE + 1):
             known.setdefault(tuple(words[i : i + SHINGLE]), set()).add(r.upstream_id)
@@ -236,9 +246,7 @@ def label_files(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
 
     def potential(batches):
         for b in batches:
-            cols = {f: b.column(f).to_pylist() for f in _FIELDS}
-            paths = b.column("path").to_pylist()
-            pot = np.array([file_potential({f: cols[f][i] for f in _FIELDS}, paths[i]) for i in range(b.num_rows)]).reshape(b.num_rows, len(LABELS))
+            pot = file_potentials({f: b.column(f).to_numpy(zero_copy_only=False).astype(float) for f in _FIELDS}, b.column("path").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("repo"), b.column("path"), *[pa.array(pot[:, i]) for i in range(len(_VEC))]], names=["repo", "path", *_VEC])
 
     pots = per_file.mapInArrow(potential, "repo string, path string, " + ", ".join(f"{v} double" for v in _VEC))

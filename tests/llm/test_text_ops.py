@@ -105,6 +105,23 @@ def test_origins(spark):
     assert label_files(df, upstream.limit(0)).where("label = 'vendored'").count() == 1
 
 
+def test_neighbours_decide_files_without_signs(spark, monkeypatch):
+    from millrace.llm import provenance
+
+    hand = "def run_{0}(x, y):\n    if x:\n        return work_{0}(y)\n    for z in y:\n        emit(z)\n"
+    rows = [("acme", f"src/m{i}.py", hand.format("abcdef"[i])) for i in range(6)] + [("acme", "src/copied.py", "# Part of zlibx 1.2.3; upstream home: zlibx.example\n" + hand.format("q"))]
+    rows += [("acme", f"dep/zlibx/f{i}.py", "# Part of zlibx 1.2.3; upstream home: zlibx.example\n" + hand.format("ghijk"[i])) for i in range(5)] + [("acme", "dep/zlibx/bare.py", hand.format("m"))]
+    rows += [("acme", f"vendor/own{i}.py", hand.format("rstuv"[i])) for i in range(5)] + [("acme", "vendor/made.py", "# Code generated by t. DO NOT EDIT.\nx = 1\n")]
+    df = spark.createDataFrame(rows, "repo string, path string, text string")
+    none = spark.createDataFrame([], "upstream_id int, text string")
+    get = lambda: {r.path: r.label for r in label_files(df, none).collect()}
+    got = get()
+    assert got["dep/zlibx/bare.py"] == "vendored" and got["src/copied.py"] == "vendored" and got["vendor/made.py"] == "generated"
+    assert all(got[p] == "handwritten" for _, p, _ in rows if p.startswith(("src/m", "vendor/own")))
+    monkeypatch.setattr(provenance, "propagate", lambda files: files)
+    assert get()["dep/zlibx/bare.py"] == "handwritten"
+
+
 def test_propagation_equals_enumeration(spark):
     import itertools
 
