@@ -66,8 +66,7 @@ def _feed(spark: SparkSession, d: str) -> ChangeFeed:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     feed = _feed(spark, d)
     feed.run()
-    done = feed.processed()
-    return done.select(*_FILE) if done is not None else feed.rows(0).select(*_FILE)
+    return feed.processed().select(*_FILE)
 
 
 def p2_batches(spark: SparkSession, d: str) -> DataFrame:

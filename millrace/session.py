@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows a table may have at most to be sent to every executor. Checked by `small_rows`.
@@ -31,19 +33,28 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir. A folder of our own stands in for it only where all tasks run in this process,
+    as in tests; a cluster without the setting is an error, as no folder of one machine is seen by the others."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(?:\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _own_dir:
         _own_dir[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        fs, p = _fs(spark, _own_dir[sc.applicationId])
+        fs.deleteOnExit(p)
         sc.setCheckpointDir(_own_dir[sc.applicationId])
     return _own_dir[sc.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; what is written there is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    fs, p = _fs(spark, path)
+    fs.deleteOnExit(p)
+    return path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -61,11 +72,36 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def rename(spark: SparkSession, src: str, dst: str) -> None:
-    """Publishes a finished folder under its final name; the file system does this in one step."""
-    fs, p = _fs(spark, src)
-    if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(dst)):
-        raise OSError(f"could not rename {src} to {dst}")
+def claim(spark: SparkSession, path: str, text: str = "") -> bool:
+    """Creates a small file that nobody has created before; False if it is there. File systems do this in one step, object
+    stores too, which know no rename of folders."""
+    fs, p = _fs(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if fs.exists(p):
+            return False
+        raise OSError(f"could not create {path}") from e
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if it is not there."""
+    fs, p = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
