@@ -143,3 +143,21 @@ def truncate_lines(text: Column, most: int = 80) -> Column:
     lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
     left = F.size(lines) - most
     return F.when(left <= 0, text).otherwise(F.concat(F.array_join(F.slice(lines, 1, most), "\n"), F.lit("\n... ("), left.cast("string"), F.lit(" more lines)")))
+
+
+def parse_summary(raw: Column, most_title: int = 80) -> Column:
+    """struct<title, summary> of a model's answer; without JSON that holds a summary, the whole text, with its first line as title."""
+    j = F.from_json(fenced_json(raw), "title string, summary string")
+    whole = F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+$", "")
+    first = F.substring(F.substring_index(whole, "\n", 1), 1, most_title)
+    has = F.coalesce(j.summary, F.lit("")) != ""
+    return F.struct(F.when(has, F.coalesce(j.title, F.lit(""))).otherwise(first).alias("title"), F.when(has, j.summary).otherwise(whole).alias("summary"))
+
+
+def without_provider(model: Column, prefix: str = "ollama") -> Column:
+    """A model's name without the prefix of a local provider."""
+    return F.regexp_replace(model, f"^{prefix}[:/]", "")
+
+
+def has_provider(model: Column, prefix: str = "ollama") -> Column:
+    return F.coalesce(model.rlike(f"^{prefix}[:/]"), F.lit(False))

@@ -146,17 +146,31 @@ def nodes_of(parsed: DataFrame) -> DataFrame:
 
 
 def resolve(parsed: DataFrame) -> DataFrame:
-    """Edges (repo, src, dst, kind, src_path, src_line, weight) with names resolved by joins.
+    """Edges (repo, src, dst, kind, src_path, src_line, weight): `references` and `definitions`, repeated ones as weight."""
+    return weighed(references(parsed).unionByName(definitions(nodes_of(parsed))))
+
+
+def weighed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("repo", "src", "dst", "kind", "src_line").agg(F.count("*").alias("weight"), F.min("src_path").alias("src_path"))
+
+
+def definitions(nodes: DataFrame) -> DataFrame:
+    """Definition edges out of the whole table of symbols, so that packages whose files did not change keep theirs."""
+    p = nodes.select(F.col("fqn").alias("p_fqn"), F.col("repo").alias("p_repo")).distinct()
+    up = nodes.where(F.col("fqn").contains(".")).withColumn("up", F.regexp_replace("fqn", r"\.[^.]*$", ""))
+    defs = up.join(p, (F.col("up") == F.col("p_fqn")) & F.col("repo").eqNullSafe(F.col("p_repo")))
+    return defs.select("repo", F.col("up").alias("src"), F.col("fqn").alias("dst"), F.lit("def").alias("kind"), F.col("path").alias("src_path"), F.col("start_line").alias("src_line"))
+
+
+def references(parsed: DataFrame) -> DataFrame:
+    """Import, call and inherit edges, one row each, with names resolved by joins within their file.
 
     A name's head is looked up among its file's own top-level definitions and imports, the last import winning; self.x and
-    cls.x among the methods of the enclosing class; what is not found becomes <unresolved:name>. Definition edges come from
-    the whole table of symbols, so packages whose files did not change keep theirs.
+    cls.x among the methods of the enclosing class; what is not found becomes <unresolved:name>.
     """
     own = parsed.select("repo", "path", "module", F.explode("defs").alias("d")).where("d.kind in ('class', 'function')")
-    prefix = F.length("module") + F.when(F.col("module") == "", 0).otherwise(1)
     own = own.select("repo", "path", F.expr("substring(d.fqn, length(module) + if(module = '', 1, 2))").alias("name"), F.col("d.fqn").alias("target"), F.lit(-1).alias("ordinal"))
     own = own.where(~F.col("name").contains("."))
-    del prefix
     bound = parsed.select("repo", "path", F.explode("bindings").alias("b")).select("repo", "path", "b.name", "b.target", "b.ordinal")
     table = own.unionByName(bound).groupBy("repo", "path", "name").agg(F.max_by("target", "ordinal").alias("target"))
     table = table.select(F.col("repo").alias("t_repo"), F.col("path").alias("t_path"), "name", "target")
@@ -173,13 +187,7 @@ def resolve(parsed: DataFrame) -> DataFrame:
     other = other.join(table, other.repo.eqNullSafe(F.col("t_repo")) & (other.path == F.col("t_path")) & (F.col("head") == F.col("name")), "left")
     tail = F.expr("substring(dst, length(head) + 1)")
     other = other.select("repo", "src", F.coalesce(F.concat("target", tail), unresolved(F.col("dst"))).alias("dst"), "kind", F.col("path").alias("src_path"), F.col("line").alias("src_line"))
-    n = nodes_of(parsed)
-    p = n.select(F.col("fqn").alias("p_fqn"), F.col("repo").alias("p_repo")).distinct()
-    up = n.where(F.col("fqn").contains(".")).withColumn("up", F.regexp_replace("fqn", r"\.[^.]*$", ""))
-    defs = up.join(p, (F.col("up") == F.col("p_fqn")) & F.col("repo").eqNullSafe(F.col("p_repo")))
-    defs = defs.select("repo", F.col("up").alias("src"), F.col("fqn").alias("dst"), F.lit("def").alias("kind"), F.col("path").alias("src_path"), F.col("start_line").alias("src_line"))
-    rows = imports.unionByName(mine).unionByName(other).unionByName(defs)
-    return rows.groupBy("repo", "src", "dst", "kind", "src_line").agg(F.count("*").alias("weight"), F.min("src_path").alias("src_path"))
+    return imports.unionByName(mine).unionByName(other)
 
 
 def chunks_of(parsed: DataFrame, size: int = 80, overlap: int = 4) -> DataFrame:

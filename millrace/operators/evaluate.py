@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators import vector
+from millrace.session import fresh_path, written
+
 
 def percentile_row(df: DataFrame, group: str, value: str, position) -> DataFrame:
     """(group, value at a rank): `position` maps the group's size (a Column) to a rank from 1.
@@ -66,3 +71,50 @@ def overlap_recall(expected: DataFrame, actual: DataFrame, tolerance: int = 5) -
     n = e.groupBy("query_id").agg(F.count("*").alias("n_expected"))
     j = n.join(hit, "query_id", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
     return j.withColumn("recall", F.col("n_hit") / F.col("n_expected"))
+
+
+def hit_paths(found: Column, cited: Column) -> Column:
+    """The distinct paths of retrieved chunks and of citations, nulls left out."""
+    some = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    return F.array_union(some(found), some(cited))
+
+
+def sweep(queries: DataFrame, base: DataFrame, ms: tuple[int, ...], builds: tuple[int, ...], searches: tuple[int, ...], k: int = 10, metric: str = "cosine") -> DataFrame:
+    """(m, ef_build, ef_search, recall, qps, build_s, on_front) of a stored vector index over a grid of settings; on_front marks
+    rows that none beats in recall and speed together."""
+    spark = base.sparkSession
+    truth = written(vector.top_k(queries, base, k, metric), "truth")
+    n, dim = queries.count(), len(base.where("vector is not null").select("vector").first().vector)
+    rows = []
+    for m in ms:
+        for ef_build in builds:
+            index = vector.VectorIndex.create(spark, fresh_path(spark, "sweep"), dim, metric, None, m, ef_build)
+            t = time.monotonic()
+            index.add(base)
+            build = time.monotonic() - t
+            for ef in searches:
+                t = time.monotonic()
+                got = written(index.search(queries, k, ef), "found")
+                took = time.monotonic() - t
+                recall = recall_at_k(truth, got, k).agg(F.avg("recall")).first()[0]
+                rows.append((m, ef_build, ef, float(recall or 0), n / took, build))
+            index.drop()
+    df = spark.createDataFrame(rows, "m int, ef_build int, ef_search int, recall double, qps double, build_s double").withColumn("_all", F.lit(1))
+    front = pareto(df, "_all", "recall", "qps").select("m", "ef_build", "ef_search", F.lit(True).alias("on_front"))
+    return df.join(front, ["m", "ef_build", "ef_search"], "left").withColumn("on_front", F.coalesce("on_front", F.lit(False))).drop("_all")
+
+
+def question_report(answers: DataFrame, expected: DataFrame) -> DataFrame:
+    """(query_id, grounded, path_recall, citation_recall, score) for answers (query_id, answer, valid, found: array of paths) and
+    expected (query_id, paths: array, path, lo, hi), the driver of answer evaluation. What nobody expects counts 1."""
+    from millrace.functions.scalars import valid_citations
+
+    paths = expected.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("paths"))).alias("want"))
+    a = answers.join(paths, "query_id", "left").withColumn("cites", valid_citations(F.col("answer")))
+    hits = hit_paths(F.col("found"), F.transform("cites", lambda c: c.path))
+    share = F.when(F.coalesce(F.size("want"), F.lit(0)) < 1, 1.0).otherwise(F.size(F.array_intersect(hits, "want")) / F.size("want"))
+    got = a.select("query_id", F.explode("cites").alias("c")).select("query_id", "c.path", "c.lo", "c.hi")
+    over = overlap_recall(expected.where("path is not null").select("query_id", "path", "lo", "hi"), got).select("query_id", F.col("recall").alias("cited"))
+    j = a.select("query_id", F.coalesce("valid", F.lit(False)).alias("grounded"), share.alias("path_recall")).join(over, "query_id", "left")
+    j = j.select("query_id", "grounded", "path_recall", F.coalesce("cited", F.lit(1.0)).alias("citation_recall"))
+    return j.withColumn("score", composite(F.col("grounded"), F.col("path_recall"), F.col("citation_recall")))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import io
+import json
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -14,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType
 from pyspark.sql.window import Window
 
-from millrace.session import small_rows
+from millrace.operators.tables import require_dim
+from millrace.session import claim, exists, fresh_path, names_in, read_text, remove, small_rows
 
 #: Names of metrics; any other name means cosine (fixed values).
 METRICS = {"l2": "l2", "euclidean": "l2", "ip": "ip", "inner": "ip", "dot": "ip", "cosine": "cosine", "cos": "cosine", "": "cosine"}
@@ -248,28 +252,240 @@ class Hnsw:
             ep = self._search(q, ep, 1, layer)[:1]
         return [(d, self.ids[i]) for d, i in self._search(q, ep, max(ef, k), 0)[:k]]
 
+    def build(self, keys: list, vectors: np.ndarray) -> Hnsw:
+        """All vectors at once into an empty graph: each layer's candidates are the exact nearest of the layer, found block by
+        block as products, cut by the same diversity heuristic. Far cheaper than adding them one by one. Of a repeated key the
+        last vector counts."""
+        if self.ids:
+            raise ValueError("the graph is not empty")
+        last = {k: i for i, k in enumerate(keys)}
+        keys = list(last)
+        if not keys:
+            return self
+        x = np.asarray(vectors, np.float64)[list(last.values())]
+        if self.metric == "cosine":
+            n = np.linalg.norm(x, axis=1, keepdims=True)
+            x = x / np.where(n > 0, n, 1)
+        self.ids, self.rows, self.at = keys, x, {k: i for i, k in enumerate(keys)}
+        self.level = np.minimum(-np.log(np.maximum(self.rng.random(len(keys)), 1e-12)) / math.log(self.m), 12).astype(int).tolist()
+        level = np.array(self.level)
+        self.entry = int(level.argmax())
+        self.layers = [{int(i): [] for i in np.flatnonzero(level >= layer)} for layer in range(int(level.max()) + 1)]
+        for layer, links in enumerate(self.layers):
+            own, cap = np.fromiter(links, int), self.m0 if layer == 0 else self.m
+            many = min(self.ef_build, len(own) - 1)
+            if many < 1:
+                continue
+            half = (x[own] ** 2).sum(1)
+            for a in range(0, len(own), 512):
+                part = own[a : a + 512]
+                d = _scores(x[part], x[own], "l2" if self.metric == "l2" else "ip")
+                d[np.arange(len(part)), np.arange(a, a + len(part))] = np.inf
+                near = np.argpartition(d, many - 1, axis=1)[:, :many]
+                near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+                for i, row, dist in zip(part.tolist(), near, np.take_along_axis(d, near, 1)):
+                    c = x[own[row]] @ x[own[row]].T
+                    between = half[row][:, None] + half[row][None, :] - 2 * c if self.metric == "l2" else 1 - c
+                    links[i] = own[row[self._diverse(dist, between, self.m)]].tolist()
+            for i in own.tolist():  # links go both ways, and the fullest lists are cut again
+                for j in list(links[i]):
+                    if i not in links[j]:
+                        links[j].append(i)
+            for i in own.tolist():
+                if len(links[i]) > cap:
+                    ds = self._d(self.rows[i], links[i])
+                    links[i] = self._select(sorted(zip(ds.tolist(), links[i])), cap)
+            self._connect(links, own)
+        return self
+
+    def _diverse(self, dist: np.ndarray, between: np.ndarray, m: int) -> np.ndarray:
+        """Places of up to m candidates, nearest first, each nearer to the vector than to any kept before; the pruned fill what is left."""
+        if not self.heuristic:
+            return np.arange(min(m, len(dist)))
+        kept, least = [], np.full(len(dist), np.inf)
+        open_ = np.ones(len(dist), bool)
+        while len(kept) < m:
+            ok = np.flatnonzero(open_ & (dist < least))
+            if not len(ok):
+                break
+            k = int(ok[0])
+            kept.append(k)
+            open_[: k + 1] = False
+            least = np.minimum(least, between[k])
+        rest = np.setdiff1d(np.arange(len(dist)), kept)[: m - len(kept)]
+        return np.concatenate([np.array(kept, int), rest])
+
+    def _connect(self, links: dict[int, list[int]], own: np.ndarray) -> None:
+        """Links each part of a layer that cannot be reached to the vector outside that is nearest to it, so that every vector is found."""
+        part = dict.fromkeys(own.tolist(), -1)
+        groups: list[list[int]] = []
+        for s in part:
+            if part[s] < 0:
+                part[s], stack = len(groups), [s]
+                groups.append([])
+                while stack:
+                    v = stack.pop()
+                    groups[-1].append(v)
+                    for u in links[v]:
+                        if part[u] < 0:
+                            part[u] = part[s]
+                            stack.append(u)
+        main = max(groups, key=len)
+        for g in groups:
+            if g is not main:
+                d = _scores(self.rows[g], self.rows[main], "l2" if self.metric == "l2" else "ip")
+                a, b = np.unravel_index(int(d.argmin()), d.shape)
+                links[g[a]].append(main[b])
+                links[main[b]].append(g[a])
+
+    def to_bytes(self) -> bytes:
+        """The graph as it is stored: keys, vectors, levels and links."""
+        links = [[(i, *js) for i, js in layer.items()] for layer in self.layers]
+        flat = [np.fromiter((v for row in layer for v in row), np.int32) for layer in links]
+        sizes = [np.array([len(row) for row in layer], np.int32) for layer in links]
+        out = io.BytesIO()
+        kept = {f"flat{k}": f for k, f in enumerate(flat)} | {f"size{k}": s for k, s in enumerate(sizes)}
+        np.savez(out, keys=np.frombuffer(json.dumps(self.ids).encode(), np.uint8), rows=self.x, level=np.array(self.level, np.int16), head=np.array([self.m, self.ef_build, self.entry, self.heuristic, len(links)]), metric=np.frombuffer(self.metric.encode(), np.uint8), **kept)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Hnsw:
+        z = np.load(io.BytesIO(data))
+        m, ef_build, entry, heuristic, n = z["head"].tolist()
+        g = cls(m, ef_build, z["metric"].tobytes().decode(), bool(heuristic))
+        g.ids, g.rows, g.level, g.entry = json.loads(z["keys"].tobytes()), z["rows"], z["level"].tolist(), entry
+        g.at = {k: i for i, k in enumerate(g.ids)}
+        for k in range(n):
+            cuts = np.concatenate([[0], np.cumsum(z[f"size{k}"])])
+            flat = z[f"flat{k}"].tolist()
+            g.layers.append({flat[a]: flat[a + 1 : b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())})
+        return g
+
+
+class VectorIndex:
+    """An approximate index in a folder of a shared file system: shards of a bounded size, each a graph, written once and read by
+    every search. Batches are added as shards of their own; a key added again replaces the former vector. `snapshot` copies the
+    index, `VectorIndex(spark, folder)` recovers it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        if not exists(spark, f"{folder}/config"):
+            raise FileNotFoundError(f"no index at {folder}")
+        self.spark, self.folder = spark, folder
+        self.config = json.loads(read_text(spark, f"{folder}/config"))
+        if self.config.get("format") != 1:
+            raise ValueError("unknown format of the index")
+
+    @classmethod
+    def create(cls, spark: SparkSession, folder: str, dim: int, metric: str = "cosine", model: str | None = None, m: int = 16, ef_build: int = 100, shard_rows: int = 2_000) -> VectorIndex:
+        if dim < 1 or m < 2 or ef_build < 1 or shard_rows < 1:
+            raise ValueError("dim, ef_build and shard_rows of at least 1, m of at least 2")
+        settings = {"format": 1, "dim": dim, "metric": parse_metric(metric)[0], "model": model, "m": m, "ef_build": ef_build, "shard_rows": shard_rows}
+        if not claim(spark, f"{folder}/config", json.dumps(settings)):
+            raise FileExistsError(f"an index is at {folder}")
+        return cls(spark, folder)
+
+    def batches(self) -> list[int]:
+        return sorted(int(n) for n in names_in(self.spark, f"{self.folder}/batches") if n.isdigit())
+
+    def _table(self, kind: str) -> DataFrame | None:
+        paths = [f"{read_text(self.spark, f'{self.folder}/batches/{n}')}/{kind}" for n in self.batches()]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def check(self, dim: int, model: str | None = None) -> None:
+        """An error if vectors of that length or model do not belong here."""
+        if dim != self.config["dim"] or model is not None and self.config["model"] not in (None, model):
+            raise ValueError(f"the index holds vectors of {self.config['model']} of length {self.config['dim']}")
+
+    def add(self, rows: DataFrame) -> int:
+        """Adds rows (item, vector) as one batch and gives its number. All lengths are checked before any row counts; null vectors
+        and items are left out."""
+        c = self.config
+        rows = require_dim(rows.where("vector is not null and item is not null").select("item", "vector"), "vector", c["dim"])
+        batches = self.batches()
+        number = batches[-1] + 1 if batches else 0
+        base = f"{self.folder}/data/{number}-{uuid.uuid4().hex}"
+        rows.withColumn("batch", F.lit(number)).write.parquet(f"{base}/rows")
+        kept = self.spark.read.parquet(f"{base}/rows")
+        shards = max(1, -(-kept.count() // c["shard_rows"]))
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("item", kind="stable")
+            g = Hnsw(c["m"], c["ef_build"], c["metric"]).build(pdf["item"].tolist(), np.stack(pdf["vector"].to_numpy()))
+            return pd.DataFrame({"batch": [number], "shard": [int(pdf["shard"].iloc[0])], "n": [len(g.ids)], "graph": [g.to_bytes()]})
+
+        shard = F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int").alias("shard")
+        kept.select("item", "vector", shard).groupBy("shard").applyInPandas(run, "batch int, shard int, n int, graph binary").write.parquet(f"{base}/shards")
+        kept.select("item", "batch", shard).distinct().write.parquet(f"{base}/keys")
+        if not claim(self.spark, f"{self.folder}/batches/{number}", base):
+            remove(self.spark, base)
+            raise RuntimeError(f"batch {number} is there already")
+        return number
+
+    def _replaced(self) -> DataFrame | None:
+        """(batch, shard, dead): the keys of each shard that a later batch holds as well."""
+        if len(self.batches()) < 2:
+            return None
+        keys = self._table("keys")
+        last = keys.groupBy("item").agg(F.max("batch").alias("last"), F.count("*").alias("n")).where("n > 1")
+        old = keys.join(last, "item").where("batch < last")
+        return old.groupBy("batch", "shard").agg(F.collect_list("item").alias("dead"))  # no more than a shard's rows
+
+    def count(self) -> int:
+        keys = self._table("keys")
+        return keys.select("item").distinct().count() if keys is not None else 0
+
+    def search(self, queries: DataFrame, k: int = 10, ef: int = 64) -> DataFrame:
+        """(query_id, item, distance, rank) for queries (query_id, vector). Every stored shard answers all questions and the best
+        are merged: a neighbour is missed only where its own shard misses it. An empty index gives no rows."""
+        qs = small_rows(queries.where("vector is not null").select("query_id", "vector"), "the query set", MOST_QUERIES)
+        for r in qs[:1]:
+            self.check(len(r.vector))
+        id_type = queries.schema["query_id"].dataType.simpleString()
+        shards = self._table("shards")
+        if shards is None:
+            return self.spark.createDataFrame([], f"query_id {id_type}, item bigint, distance double, rank int")
+        item_type = self._table("keys").schema["item"].dataType.simpleString()
+        schema = f"query_id {id_type}, item {item_type}, distance double"
+        dead = self._replaced()
+        shards = shards.withColumn("dead", F.array().cast(f"array<{item_type}>")) if dead is None else shards.join(dead, ["batch", "shard"], "left")
+
+        def run(batches):
+            for b in batches:
+                for data, gone in zip(b.column("graph").to_pylist(), b.column("dead").to_pylist()):
+                    g, gone = Hnsw.from_bytes(data), set(gone or ())
+                    rows = []
+                    for r in qs:
+                        found = [(d, i) for d, i in g.search(r.vector, k + len(gone), max(ef, k + len(gone))) if i not in gone]
+                        rows += [(r.query_id, i, round(float(d), 6)) for d, i in found[:k]]
+                    cols = list(zip(*rows)) or [(), (), ()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _arrow(schema))], schema=_arrow(schema))
+
+        order = Window.partitionBy("query_id").orderBy("distance", "item")
+        # a shard's graph takes far longer to search than to move
+        spread = shards.select("graph", "dead").repartition(max(1, min(shards.count(), 10_000)))
+        return spread.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def snapshot(self, folder: str) -> VectorIndex:
+        """The index as it is now, as one batch in a folder of its own."""
+        c = self.config
+        other = VectorIndex.create(self.spark, folder, c["dim"], c["metric"], c["model"], c["m"], c["ef_build"], c["shard_rows"])
+        rows = self._table("rows")
+        if rows is not None:
+            last = rows.groupBy("item").agg(F.max_by("vector", "batch").alias("vector"))
+            other.add(last)
+        return other
+
+    def drop(self) -> None:
+        remove(self.spark, self.folder)
 
-def hnsw_top_k(queries: DataFrame, base: DataFrame, k: int = 10, shard_rows: int = 2_000, metric: str = "cosine", m: int = 16, ef_build: int = 100, ef: int = 64) -> DataFrame:
-    """(query_id, item, distance, rank), approximately: the base is hashed into shards of a bounded size, each shard builds its
-    graph and answers all questions, and the shards' best are merged. A neighbour is missed only where its own shard misses it."""
-    qs = small_rows(queries.where("vector is not null").select("query_id", "vector"), "the query set", MOST_QUERIES)
-    n = base.count()
-    shards = max(1, -(-n // shard_rows))
-    id_type, item_type = queries.schema["query_id"].dataType.simpleString(), base.schema["item"].dataType.simpleString()
-    schema = f"query_id {id_type}, item {item_type}, distance double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = Hnsw(m, ef_build, metric)
-        pdf = pdf.sort_values("item")
-        for key, v in zip(pdf["item"], pdf["vector"]):
-            g.add(key, v)
-        rows = [(r.query_id, key, round(float(d), 6)) for r in qs for d, key in g.search(r.vector, k, ef)]
-        return pd.DataFrame(rows, columns=["query_id", "item", "distance"])
 
-    order = Window.partitionBy("query_id").orderBy("distance", "item")
-    shard = F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard")
-    found = base.where("vector is not null").select("item", "vector", shard).groupBy("shard").applyInPandas(run, schema)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def hnsw_top_k(queries: DataFrame, base: DataFrame, k: int = 10, shard_rows: int = 2_000, metric: str = "cosine", m: int = 16, ef_build: int = 100, ef: int = 64) -> DataFrame:
+    """(query_id, item, distance, rank) of a stored index built for this search."""
+    first = base.where("vector is not null").select("vector").first()
+    spark = base.sparkSession
+    index = VectorIndex.create(spark, fresh_path(spark, "vectors"), len(first.vector) if first else 1, metric, None, m, ef_build, shard_rows)
+    index.add(base.select("item", "vector"))
+    return index.search(queries, k, ef)
 
 
 def synthetic(spark: SparkSession, n: int, dim: int, seed: int = 1) -> DataFrame:

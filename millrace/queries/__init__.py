@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from millrace.queries import records, reference
+from millrace.queries import engine, records, reference
 
-MODULES = [records, reference]
+MODULES = [records, reference, engine]
