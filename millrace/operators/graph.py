@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.scalars import is_unresolved, leaf, parent
-from millrace.session import fresh_path, remove, written, written_at
 
 
 def suffix_lookup(asked: DataFrame, nodes: DataFrame, limit: int = 32) -> DataFrame:
@@ -124,41 +123,3 @@ def content_sha(members: DataFrame, nodes: DataFrame, file_sha: DataFrame) -> Da
     file = F.concat(F.lit("\0path:"), F.coalesce("path", F.lit("")), F.lit("\0sha:"), F.coalesce("file_sha", F.lit("")))
     g = rows.groupBy("community_id").agg(F.array_sort(F.collect_set(name)).alias("names"), F.array_sort(F.collect_set(file)).alias("files"))
     return g.select("community_id", F.sha2(F.concat(F.array_join("names", ""), F.array_join("files", "")), 256).alias("content_sha"))
-
-
-def communities_by_moves(graph: DataFrame, resolution: float = 1.0, rounds: int = 12, seed: int = 1337) -> DataFrame:
-    """(v, cluster) of a graph (a, b, weight) of any size: local moves for modularity, as DataFrame rounds.
-
-    In each round a hashed half of the vertices may move to the neighbouring cluster of the greatest gain, so that two
-    neighbours do not keep swapping. A vertex's candidates are the clusters of its neighbours, added up before the shuffle.
-    """
-    spark = graph.sparkSession
-    both = written(graph.select(F.col("a").alias("v"), F.col("b").alias("u"), F.col("weight").cast("double").alias("w")).unionByName(graph.select(F.col("b").alias("v"), F.col("a").alias("u"), F.col("weight").cast("double").alias("w"))), "arcs")
-    strength = written(both.groupBy("v").agg(F.sum("w").alias("k")), "strength")
-    two_m = strength.agg(F.sum("k")).first()[0] or 1.0
-    path = fresh_path(spark, "moves")
-    state = written_at(strength.select("v", "k", F.col("v").alias("cluster")), path)
-    for r in range(rounds):
-        tie = both.join(state.select(F.col("v").alias("u"), "cluster"), "u").groupBy("v", "cluster").agg(F.sum("w").alias("w"))
-        total = state.groupBy("cluster").agg(F.sum("k").alias("total"))
-        me = state.select("v", "k", F.col("cluster").alias("own"))
-        gain = tie.join(total, "cluster").join(me, "v")
-        inside = F.when(F.col("cluster") == F.col("own"), F.col("total") - F.col("k")).otherwise(F.col("total"))
-        gain = gain.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * inside / two_m, 9))
-        own_gain = F.max(F.when(F.col("cluster") == F.col("own"), F.col("gain")))
-        best = gain.groupBy("v").agg(F.max_by("cluster", F.struct("gain", "cluster")).alias("best"), F.max("gain").alias("g"), own_gain.alias("g0"))
-        may = F.pmod(F.xxhash64("v", F.lit(seed + r)), F.lit(2)) == 0
-        # a vertex without a neighbour in its own cluster stays at the gain it has there alone
-        alone = -resolution * F.col("k") * (F.col("own_total") - F.col("k")) / two_m
-        wants = F.coalesce(F.col("g") > F.coalesce(F.col("g0"), F.round(alone, 9)), F.lit(False))
-        kept = state.join(best, "v", "left").join(total.withColumnRenamed("total", "own_total"), "cluster")
-        nxt = kept.select("v", "k", F.when(may & wants, F.col("best")).otherwise(F.col("cluster")).alias("cluster"), wants.alias("wants"))
-        new_path = fresh_path(spark, "moves")
-        out = written_at(nxt, new_path)
-        n_wanting = out.where("wants").count()
-        state = out.drop("wants")
-        remove(spark, path)
-        path = new_path
-        if not n_wanting:
-            break
-    return state.select("v", "cluster")

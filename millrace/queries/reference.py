@@ -246,10 +246,18 @@ def leiden_communities(spark, d):
     return leiden.parents(leiden.communities(g.join(n.withColumnRenamed("fqn", "a"), "a").select("repo", "a", "b", "weight")))
 
 
-@query()
-def distributed_communities(spark, d):
+def _repo_graph(spark, d):
+    n = read(spark, d, "nodes").groupBy("fqn").agg(F.max("repo").alias("repo"))
     g = graph.symmetrise(read(spark, d, "edges"), read(spark, d, "nodes"))
-    return graph.communities_by_moves(g, rounds=6).groupBy("cluster").agg(F.count("*").alias("n"))
+    return g.join(n.withColumnRenamed("fqn", "a"), "a").select("repo", "a", "b", "weight")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n_different")
+def distributed_communities(spark, d):
+    """The same communities by joins and in tasks: how many rows differ."""
+    one, two = (leiden.communities(_repo_graph(spark, d), cap=cap).withColumn("side", F.lit(s)) for cap, s in ((500_000, 1), (0, -1)))
+    both = one.unionByName(two).groupBy("repo", "level", "fqn", "cluster").agg(F.sum("side").alias("s"))
+    return both.agg(F.coalesce(F.sum(F.abs("s")), F.lit(0)).cast("bigint").alias("n_different"))
 
 
 @query("""WITH e AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('call', 'inherit')), arcs AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
