@@ -3,10 +3,11 @@
 1. Components. A node has at most one parent, so a component has exactly one top (a root, or a node
    whose parent is missing) or exactly one loop. Pointer doubling finds it in log2(longest chain)
    rounds; every round is one hash join and is written to the shared folder.
-2. Components up to `component_cap` nodes are co-located, many to a bundle of about `bundle_rows`
-   rows, and traversed depth-first with node colours (white, grey, black). A grey node met again
-   closes a loop: that edge is the back edge.
-3. A component above the cap never enters one task: its paths come from doubling path segments,
+2. Components up to `component_cap` nodes and `element_cap` places in their paths, known from the
+   depths that the doubling counts, are co-located, many to a bundle of about `bundle_rows` rows,
+   and traversed depth-first with node colours (white, grey, black). A grey node met again closes
+   a loop: that edge is the back edge.
+3. A component above a cap never enters one task: its paths come from doubling path segments,
    which is exact as well, only with more shuffles.
 """
 
@@ -39,8 +40,8 @@ def current_links(df: DataFrame, node_id: str, parent: str, version: str, none_v
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, parent_id, top, kind, component): kind is `root`, `lost` or `loop`; top is the node at which the chain ends, for
-    a loop some node on it. component is the same for all nodes of a component."""
+    """(id, parent_id, top, kind, component, depth): kind is `root`, `lost` or `loop`; top is the node at which the chain ends, for
+    a loop some node on it. component is the same for all nodes of a component. depth counts the links to the top, 0 for loops."""
     spark = links.sparkSession
     ids = links.select(F.col("id").alias("p_id"))
     linked = links.join(ids, links.parent_id == ids.p_id, "left")
@@ -52,12 +53,12 @@ def components(links: DataFrame) -> DataFrame:
         ),
         "links",
     )
-    state = base.select("id", F.when(F.col("kind").isNull(), F.col("parent_id")).otherwise(F.col("id")).alias("ptr"), "kind", F.col("id").alias("low"))
+    state = base.select("id", F.when(F.col("kind").isNull(), F.col("parent_id")).otherwise(F.col("id")).alias("ptr"), "kind", F.col("id").alias("low"), F.when(F.col("kind").isNull(), 1).otherwise(0).cast("bigint").alias("dist"))
 
     def jump(s: DataFrame) -> DataFrame:
-        t = s.select(F.col("id").alias("t_id"), F.col("ptr").alias("t_ptr"), F.col("kind").alias("t_kind"), F.col("low").alias("t_low"))
+        t = s.select(F.col("id").alias("t_id"), F.col("ptr").alias("t_ptr"), F.col("kind").alias("t_kind"), F.col("low").alias("t_low"), F.col("dist").alias("t_dist"))
         moved = s.where(F.col("kind").isNull()).join(t, F.col("ptr") == F.col("t_id"))
-        moved = moved.select("id", F.col("t_ptr").alias("ptr"), F.col("t_kind").alias("kind"), F.least("low", "t_low").alias("low"))
+        moved = moved.select("id", F.col("t_ptr").alias("ptr"), F.col("t_kind").alias("kind"), F.least("low", "t_low").alias("low"), (F.col("dist") + F.col("t_dist")).alias("dist"))
         return s.where(F.col("kind").isNotNull()).unionByName(moved)
 
     before, steps, left_before = None, 1, -1
@@ -79,13 +80,14 @@ def components(links: DataFrame) -> DataFrame:
     on_loop = on_loop.join(loops.select(F.col("id").alias("loop_id"), F.col("low").alias("loop_low")), "loop_id")
     marked = state.join(on_loop, (state.ptr == on_loop.loop_id) & state.kind.isNull(), "left")
     marked = marked.select(
-        "id", F.coalesce("kind", F.lit("loop")).alias("kind"), F.col("ptr").alias("top"), F.coalesce("loop_low", "ptr").alias("component")
+        "id", F.coalesce("kind", F.lit("loop")).alias("kind"), F.col("ptr").alias("top"), F.coalesce("loop_low", "ptr").alias("component"), F.when(F.col("kind").isNull(), 0).otherwise(F.col("dist")).alias("depth")
     )
     return base.drop("kind").join(marked, "id")
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Depth-first traversal of whole components. White 0, grey 1, black 2."""
+def _walk(pdf: pd.DataFrame, with_paths: bool = True) -> pd.DataFrame:
+    """Depth-first traversal of whole components. White 0, grey 1, black 2. Without paths they are null, and a chain of any length
+    takes room for its nodes only."""
     ids = pdf["id"].to_numpy(np.int64)
     order = np.argsort(ids)
     ids, parents, kinds = ids[order], pdf["parent_id"].to_numpy()[order], pdf["kind"].to_numpy()[order]
@@ -108,7 +110,8 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
         stack, trail = [(int(top), 0)], []
         colour[top] = 1
         trail.append(int(ids[top]))
-        paths[top] = list(trail)
+        if with_paths:
+            paths[top] = list(trail)
         while stack:
             v, k = stack[-1]
             if k == 0:
@@ -119,7 +122,8 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
                 c = children[v][k]
                 colour[c] = 1
                 trail.append(int(ids[c]))
-                paths[c] = list(trail)
+                if with_paths:
+                    paths[c] = list(trail)
                 stack.append((c, 0))
             else:
                 colour[v] = 2
@@ -160,10 +164,6 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _walk_bundle(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _walk(pdf)
-
-
 def _by_doubling(part: DataFrame) -> DataFrame:
     """The same columns for components above the cap, without gathering any of them."""
     spark = part.sparkSession
@@ -210,7 +210,21 @@ def _by_doubling(part: DataFrame) -> DataFrame:
     return tree_rows.unionByName(loop_rows)
 
 
-def hierarchies(links: DataFrame, component_cap: int = 200_000, bundle_rows: int = 50_000) -> DataFrame:
+def _bundles(comps: DataFrame, bundle_rows: int, with_paths: bool) -> DataFrame:
+    bundle: Column = F.pmod(F.xxhash64("component"), F.lit(max(1, -(-comps.count() // bundle_rows)))).alias("bundle")
+    return comps.select("id", "parent_id", "kind", bundle).groupBy("bundle").applyInPandas(lambda pdf: _walk(pdf, with_paths), HIERARCHY_SCHEMA)
+
+
+def _apart(comps: DataFrame, too_big: Column) -> tuple[DataFrame, DataFrame | None]:
+    """Components that fit one task, and the rows of those that do not."""
+    sizes = comps.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.col("depth") + 1).alias("n_places"))
+    big = written(sizes.where(too_big).select(F.col("component").alias("big")), "big")
+    if not big.limit(1).count():
+        return comps, None
+    return comps.join(big, comps.component == big.big, "left_anti"), comps.join(big, comps.component == big.big, "left_semi")
+
+
+def hierarchies(links: DataFrame, component_cap: int = 200_000, bundle_rows: int = 50_000, element_cap: int = 5_000_000) -> DataFrame:
     """`HIERARCHY_SCHEMA` for links (id, parent_id), one row per id as `current_links` gives.
 
     outcome: `root` (the chain ends at a root), `lost_parent`, `cycle` (on a loop, a node may be its own parent) or
@@ -219,18 +233,24 @@ def hierarchies(links: DataFrame, component_cap: int = 200_000, bundle_rows: int
     the loop; is_back_edge marks the one edge per loop that leads back to that id. An empty table gives no rows.
     """
     comps = written(components(links), "components")
-    n = comps.count()
-    big = comps.groupBy("component").count().where(F.col("count") > component_cap).select(F.col("component").alias("big"))
-    big = written(big, "big")
-    has_big = big.limit(1).count() > 0
-    near = comps.join(big, comps.component == big.big, "left_anti") if has_big else comps
-    bundles = max(1, -(-n // bundle_rows))
-    bundle: Column = F.pmod(F.xxhash64("component"), F.lit(bundles)).alias("bundle")
-    done = near.select("id", "parent_id", "kind", bundle).groupBy("bundle").applyInPandas(lambda pdf: _walk_bundle(pdf), HIERARCHY_SCHEMA)
-    if has_big:
-        far = comps.join(big, comps.component == big.big, "left_semi")
-        done = done.unionByName(_by_doubling(written(far, "far")))
-    return done
+    near, far = _apart(comps, (F.col("n") > component_cap) | (F.col("n_places") > element_cap))
+    done = _bundles(near, bundle_rows, True)
+    return done.unionByName(_by_doubling(written(far, "far"))) if far is not None else done
+
+
+def outcomes(links: DataFrame, component_cap: int = 1_000_000, bundle_rows: int = 200_000) -> DataFrame:
+    """(id, parent_id, outcome, cycle_id, is_back_edge) as `hierarchies` gives, without paths, so that depth costs nothing."""
+    columns = ["id", "parent_id", "outcome", "cycle_id", "is_back_edge"]
+    comps = written(components(links), "components")
+    near, far = _apart(comps, F.col("n") > component_cap)
+    done = _bundles(near, bundle_rows, False).select(*columns)
+    if far is None:
+        return done
+    ring = far.where("kind = 'loop'").select(F.col("top").alias("ring_id")).distinct()
+    on = F.col("ring_id").isNotNull()
+    kind = F.when(F.col("kind") == "root", "root").when(F.col("kind") == "lost", "lost_parent").when(on, "cycle").otherwise("under_cycle")
+    rows = far.join(ring, far.id == ring.ring_id, "left")
+    return done.unionByName(rows.select("id", "parent_id", kind.alias("outcome"), F.when(F.col("kind") == "loop", F.col("component")).alias("cycle_id"), (on & (F.col("parent_id") == F.col("component"))).alias("is_back_edge")))
 
 
 def descendants(tree: DataFrame) -> DataFrame:

@@ -315,8 +315,7 @@ class Hnsw:
         rest = np.setdiff1d(np.arange(len(dist)), kept)[: m - len(kept)]
         return np.concatenate([np.array(kept, int), rest])
 
-    def _connect(self, links: dict[int, list[int]], own: np.ndarray) -> None:
-        """Links each part of a layer that cannot be reached to the vector outside that is nearest to it, so that every vector is found."""
+    def _parts(self, links: dict[int, list[int]], own: np.ndarray) -> list[list[int]]:
         part = dict.fromkeys(own.tolist(), -1)
         groups: list[list[int]] = []
         for s in part:
@@ -330,13 +329,23 @@ class Hnsw:
                         if part[u] < 0:
                             part[u] = part[s]
                             stack.append(u)
-        main = max(groups, key=len)
-        for g in groups:
-            if g is not main:
-                d = _scores(self.rows[g], self.rows[main], "l2" if self.metric == "l2" else "ip")
-                a, b = np.unravel_index(int(d.argmin()), d.shape)
-                links[g[a]].append(main[b])
-                links[main[b]].append(g[a])
+        return groups
+
+    def _connect(self, links: dict[int, list[int]], own: np.ndarray) -> None:
+        """Links each part of a layer that no link leaves to the m parts around it, so that a search finds its way between them,
+        and goes on until all of the layer is one part."""
+        while len(groups := self._parts(links, own)) > 1:
+            middle = np.stack([self.rows[g].mean(0) for g in groups])
+            apart = _scores(middle, middle, "l2")
+            np.fill_diagonal(apart, np.inf)
+            for i, near in enumerate(np.argsort(apart, axis=1, kind="stable")[:, : min(self.m, len(groups) - 1)]):
+                for j in near.tolist():
+                    a = groups[i][int(((self.rows[groups[i]] - middle[j]) ** 2).sum(1).argmin())]
+                    b = groups[j][int(((self.rows[groups[j]] - middle[i]) ** 2).sum(1).argmin())]
+                    if b not in links[a]:
+                        links[a].append(b)
+                    if a not in links[b]:
+                        links[b].append(a)
 
     def to_bytes(self) -> bytes:
         """The graph as it is stored: keys, vectors, levels and links."""

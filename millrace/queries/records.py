@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.changes import ChangeFeed, latest_by, trusted_state
-from millrace.operators.hierarchy import current_links, descendants, hierarchies, loop_hierarchies
+from millrace.operators.hierarchy import current_links, descendants, hierarchies, loop_hierarchies, outcomes
 from millrace.operators.orphans import live_keys, orphan_counts, orphan_references
 from millrace.queries.tables import read
 from millrace.session import fresh_path, written
@@ -18,7 +18,8 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d).where("outcome <> 'root'").select(F.col("id").alias("community_id"), "outcome")
+    links = current_links(read(spark, d, "communities"), "community_id", "parent_id", "detected_at")
+    return outcomes(links).where("outcome <> 'root'").select(F.col("id").alias("community_id"), "outcome")
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:

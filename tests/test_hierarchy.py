@@ -1,6 +1,6 @@
 import random
 
-from millrace.operators.hierarchy import current_links, descendants, hierarchies
+from millrace.operators.hierarchy import components, current_links, descendants, hierarchies, outcomes
 
 
 def brute(links):
@@ -38,6 +38,9 @@ def test_against_brute_force_in_both_branches(spark):
             assert got[v].depth == (None if path is None else len(path) - 1)
         assert got[102].is_back_edge and got[100].cycle_id == 100 and got[104].cycle_id == 100
         assert sum(r.is_back_edge for r in got.values() if r.cycle_id in (100, 200)) == 2
+        links_df = spark.createDataFrame(links, "id bigint, parent_id bigint")
+        kinds = {r.id: (r.outcome, r.cycle_id, r.is_back_edge) for r in outcomes(links_df, component_cap=cap).collect()}
+        assert kinds == {v: (got[v].outcome, got[v].cycle_id, got[v].is_back_edge) for v in got}
         below = {v: sum(v in p[:-1] for o, p in want.values() if p) for v in want}
         assert all(got[v].n_descendants == below[v] for v, (o, p) in want.items() if p)
 
@@ -48,6 +51,9 @@ def test_deep_chain_and_descendants(spark):
     tree = hierarchies(df)
     assert tree.agg({"depth": "max"}).first()[0] == n - 1
     assert descendants(tree).count() == n * (n - 1) // 2
+    assert {r.id: r.depth for r in components(df).collect()} == {i: i for i in range(n)}
+    bounded = hierarchies(df, element_cap=1000)  # its paths would not fit one task
+    assert {r.id: list(r.path) for r in bounded.collect()} == {i: list(range(i + 1)) for i in range(n)}
 
 
 def test_counting_rows_nulls_ties_and_clashing_columns(spark):
