@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import small_rows
 
-#: Test items are a fixed set; a larger one is refused rather than sent to every task.
+#: Items that one pass over the documents looks for; more are taken up in passes of about so many.
 MOST_ITEMS = 50_000
 #: Characters that are taken out before words are cut (fixed values).
 INVISIBLE = "​‍﻿"
@@ -112,21 +113,31 @@ def _runs(item: list[str], doc: list[str], shift: int, run: int) -> list[tuple[i
     return out
 
 
+def _passes(items: DataFrame, most: int) -> list[DataFrame]:
+    """The items in shares of about half of `most`, by a digest of their id."""
+    n = items.count()
+    parts = 1 if n <= most else -(-2 * n // most)
+    return [items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) for k in range(parts)]
+
+
 def _items(items: DataFrame) -> dict[int, list[str]]:
-    found = small_rows(items.where("item_id is not null and text is not null").select("item_id", "text"), "the test items", MOST_ITEMS)
     by_id: dict[int, list[str]] = {}
-    for r in found:
+    for r in items.where("item_id is not null and text is not null").select("item_id", "text").collect():
         by_id[r.item_id] = max(by_id.get(r.item_id, []), words_of(r.text), key=lambda w: (len(w), w))
     return by_id
 
 
-def leaked_phrases(docs: DataFrame, items: DataFrame, run: int = 20) -> DataFrame:
+def leaked_phrases(docs: DataFrame, items: DataFrame, run: int = 20, most_items: int = MOST_ITEMS) -> DataFrame:
     """(item_id, doc_id, item_word, doc_word, n_words): every maximal common phrase of at least `run` words.
 
     docs (doc_id bigint, text), items (item_id int, text). Null and blank texts and items of fewer than `run` words have no
     phrases; equal documents each get their rows; repeated items under one id are joined by their longest text. An empty
     table gives no rows.
     """
+    return reduce(DataFrame.unionByName, [_phrases(docs, part, run) for part in _passes(items, most_items)])
+
+
+def _phrases(docs: DataFrame, items: DataFrame, run: int) -> DataFrame:
     spark = docs.sparkSession
     by_id = _items(items)
     texts = docs.where("text is not null").select("doc_id", "text")
@@ -168,9 +179,13 @@ def leaked_phrases(docs: DataFrame, items: DataFrame, run: int = 20) -> DataFram
     return texts.mapInArrow(search, empty.schema)
 
 
-def near_terms(docs: DataFrame, items: DataFrame, terms: int = 8, least: int = 4, span: int = 50) -> DataFrame:
+def near_terms(docs: DataFrame, items: DataFrame, terms: int = 8, least: int = 4, span: int = 50, most_items: int = MOST_ITEMS) -> DataFrame:
     """(item_id, doc_id, n_terms, span): documents in which at least `least` of an item's `terms` rarest words stand within
     `span` words in any order. Words that occur in no document do not count. Nulls, blanks and empty tables give no rows."""
+    return reduce(DataFrame.unionByName, [_near(docs, part, terms, least, span) for part in _passes(items, most_items)])
+
+
+def _near(docs: DataFrame, items: DataFrame, terms: int, least: int, span: int) -> DataFrame:
     spark = docs.sparkSession
     by_id = _items(items)
     texts = docs.where("text is not null").select("doc_id", "text")

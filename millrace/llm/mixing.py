@@ -14,10 +14,12 @@
 from __future__ import annotations
 
 import base64
+import math
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,14 +85,29 @@ def split_blocks(counts: dict[str, int], shards: int, seed: int) -> dict[int, di
     return out
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, shards: int = 16, block_tokens: int = 20_000, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+def _in_order(rows: DataFrame, by: list[str], value: str | None, n: int, per_task: int = 200_000) -> DataFrame:
+    """`rows` (source, h, ...) with rank, from 0, and upto, the sum of `value` up to the row, in order of (h, by) within each source.
+    A source's rows are cut by ranges of h, so that each range is ordered in a task of its own and only its sum goes on."""
+    bits = max(0, math.ceil(math.log2(max(1, n / per_task))))
+    rows = rows.withColumn("_range", F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    worth = F.col(value) if value else F.lit(0)
+    sums = rows.groupBy("source", "_range").agg(F.count("*").alias("_n"), F.sum(worth).alias("_s"))
+    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("source", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
+    inner = Window.partitionBy("source", "_range").orderBy("h", *by)
+    out = rows.withColumn("_r", F.row_number().over(inner) - 1).withColumn("_u", F.sum(worth).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.join(starts, ["source", "_range"])
+    return out.withColumn("rank", (F.col("_n0") + F.col("_r")).cast("bigint")).withColumn("upto", F.col("_s0") + F.col("_u")).drop("_range", "_n", "_s", "_n0", "_s0", "_r", "_u")
+
+
+def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, shards: int | None = None, block_tokens: int = 20_000, shard_tokens: int = 200_000_000, seed: int = 5) -> tuple[DataFrame, DataFrame]:
     """(records, report) for docs (doc_id, source, n_tokens) and targets (source, target_share, max_repeats).
 
     records: shard, position, doc_id, source, n_tokens, pass. report: source, target_share, reached_share, n_tokens, n_records,
     most_repeats, available_tokens; one row per target and one, with share 0, per source without a target.
 
     Sources match after `clean_source`; records of null sources or sources without a target are not used. Records without
-    tokens take part in whole passes only. Blocks are whole records, so a share is met to within a block. Repeated ids are
+    tokens take part in whole passes only. Without a number of shards there are 16, or one for `shard_tokens` if that is more. Blocks are whole records, so a share is met to within a block. Repeated ids are
     distinct records. Empty tables give empty records; the report still names every target.
     """
     spark = docs.sparkSession
@@ -114,9 +131,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, sh
     used = used.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), buckets.cast("bigint")))
     sized = used.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"))
     # at most one row per block_tokens tokens of the corpus; their order is the permutation, by hash
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
-    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = sized.withColumn("upto", upto).withColumn("rank", F.row_number().over(order) - 1)
+    sized = written(sized.withColumn("h", F.xxhash64(F.lit(seed + 1), "source", "block")), "sizes_of_blocks")
+    ranked = _in_order(sized, ["block"], "n", sized.count())
     limit = F.lit(0.0)
     passes = F.lit(0)
     for s in wanted:
@@ -129,18 +145,29 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, sh
     # copies of blocks: copy c of the block at rank k is item c * n_blocks + k of its source
     n_blocks = {r.source: r.n for r in ranked.groupBy("source").agg(F.count("*").alias("n")).collect()}
     n_items = {r.source: int(r.n or 0) for r in ranked.groupBy("source").agg(F.sum("times").alias("n")).collect()}
+    shards = shards or max(16, math.ceil(sum(quota.values()) / shard_tokens))
     dealt = split_blocks(n_items, shards, seed) if n_items else {}
-    runs = [(s, shard, a, z) for shard, by in dealt.items() for s, (a, z) in by.items()]
+    ends = {s: (np.array([by[s][1] for by in dealt.values() if s in by]), np.array([shard for shard, by in dealt.items() if s in by])) for s in n_items}
     size = F.lit(1)
     for s, n in n_blocks.items():
         size = F.when(F.col("source") == s, F.lit(n)).otherwise(size)
     copies = ranked.where("times > 0").select("source", "block", "rank", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("pass"))
     copies = copies.withColumn("item", (F.col("pass") - 1) * size + F.col("rank"))
     # a permutation of each source's items independent of passes, so that copies of a block part
-    spread = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "source", "item"), "item")
-    copies = copies.withColumn("slot", (F.row_number().over(spread) - 1).cast("bigint"))
-    table = spark.createDataFrame(runs, "r_source string, shard int, since bigint, until bigint") if runs else spark.createDataFrame([], "r_source string, shard int, since bigint, until bigint")
-    placed = copies.join(F.broadcast(table), (F.col("source") == F.col("r_source")) & (F.col("slot") >= F.col("since")) & (F.col("slot") < F.col("until")))
+    copies = _in_order(copies.drop("rank").withColumn("h", F.xxhash64(F.lit(seed + 2), "source", "item")), ["item"], None, sum(n_items.values())).withColumnRenamed("rank", "slot")
+
+    def place(batches):
+        """The shard whose run of the source's slots holds the row's."""
+        for b in batches:
+            slot, source = b.column("slot").to_numpy(), np.array(b.column("source").to_pylist(), object)
+            shard = np.zeros(len(slot), np.int32)
+            for s in set(source.tolist()):
+                until, which = ends[s]
+                mine = source == s
+                shard[mine] = which[np.searchsorted(until, slot[mine], side="right")]
+            yield pa.RecordBatch.from_arrays([b.column("source"), b.column("block"), b.column("pass"), pa.array(shard)], names=["source", "block", "pass", "shard"])
+
+    placed = copies.select("source", "block", "pass", "slot").mapInArrow(place, "source string, block bigint, pass int, shard int")
     placed = placed.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "pass", "shard")
     picked = used.join(placed, (used.source == placed.b_source) & (used.block == placed.b_block)).select("shard", "doc_id", "source", "n_tokens", "pass")
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id", "pass"), "doc_id", "pass", "n_tokens")

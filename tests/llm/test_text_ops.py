@@ -36,6 +36,9 @@ def test_leaks_against_brute_force(spark):
     ddf, idf = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id int, text string")
     got = {(r.item_id, r.doc_id) for r in leaked_phrases(ddf, idf).collect()}
     assert got == want and any(i == 92 for i, _ in want)
+    assert {(r.item_id, r.doc_id) for r in leaked_phrases(ddf, idf, most_items=4).collect()} == want  # more items than one pass takes
+    near = {(r.item_id, r.doc_id): r.n_terms for r in near_terms(ddf, idf, least=2).collect()}
+    assert near and near == {(r.item_id, r.doc_id): r.n_terms for r in near_terms(ddf, idf, least=2, most_items=4).collect()}
     assert leaked_phrases(ddf.limit(0), idf).count() == 0 and leaked_phrases(ddf, idf.limit(0)).count() == 0
     assert near_terms(ddf, idf, least=2).count() >= 0 and near_terms(ddf.limit(0), idf).count() == 0
 
@@ -157,6 +160,22 @@ def test_splitting_tree_is_exact():
     assert max(sizes) - min(sizes) <= 3 and split_blocks({"a": 50}, 4, 1) == split_blocks({"a": 50}, 4, 1)
 
 
+def test_order_by_ranges_is_the_order(spark):
+    from millrace.llm.mixing import _in_order
+
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), i, rng.randrange(1, 9), rng.getrandbits(64) - 2**63 if i % 5 else 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "source string, block bigint, n bigint, h bigint")
+    got = {(r.source, r.block): (r.rank, r.upto) for r in _in_order(df, ["block"], "n", 300, per_task=20).collect()}
+    want = {}
+    for s in "ab":
+        upto = 0
+        for k, (_, b, n, _) in enumerate(sorted((r for r in rows if r[0] == s), key=lambda r: (r[3], r[1]))):
+            upto += n
+            want[s, b] = (k, upto)
+    assert got == want
+
+
 def test_mix(spark):
     rows = [(i, "Big", 10) for i in range(900)] + [(1000 + i, " small ", 10) for i in range(100)] + [(5000, None, 10), (5001, "other", 10), (None, "big", 10), (5002, "small", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint").withColumn("shard", F.lit(0))
