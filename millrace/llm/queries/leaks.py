@@ -36,4 +36,13 @@ _GRAMS = f"""item_words AS (SELECT item_id, {_WORDS} AS w FROM eval_items), doc_
   doc_grams AS (SELECT DISTINCT doc_id, list_aggregate(w[k:k + 19], 'string_agg', ' ') AS g FROM
     (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM doc_words))"""
 
-SQL = {"p8_found": f"WITH {_GRAMS} SELECT DISTINCT item_id, doc_id FROM item_grams JOIN doc_grams USING (g)"}
+_PLACES = f"""item_words AS (SELECT item_id, {_WORDS} AS w FROM eval_items), doc_words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+  item_at AS (SELECT item_id, k, list_aggregate(w[k:k + 19], 'string_agg', ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) AS k FROM item_words)),
+  doc_at AS (SELECT doc_id, k AS j, list_aggregate(w[k:k + 19], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM doc_words)),
+  runs AS (SELECT item_id, doc_id, CAST(count(*) + 19 AS INTEGER) AS n_words FROM (SELECT item_id, doc_id, j - k AS shift, k - row_number() OVER (PARTITION BY item_id, doc_id, j - k ORDER BY k) AS island
+    FROM item_at JOIN doc_at USING (g)) GROUP BY item_id, doc_id, shift, island)"""
+
+SQL = {
+    "p8_found": f"WITH {_GRAMS} SELECT DISTINCT item_id, doc_id FROM item_grams JOIN doc_grams USING (g)",
+    "p8_items": f"WITH {_PLACES} SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(n_words) AS longest FROM runs GROUP BY item_id",
+}

