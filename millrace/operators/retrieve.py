@@ -49,22 +49,35 @@ def hybrid(queries: DataFrame, dense: DataFrame, sparse: DataFrame, chunks: Data
     return got.select("query_id", "rank", "item", "path", "start_line", "end_line", "score")
 
 
-def graph_route(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(query_id, symbol, answer, n_citations): the callers of the symbol a question names, one line and citation each."""
+#: Phrases of the graph route's answers (fixed values).
+NO_CALLERS, NO_SYMBOL = " has no recorded callers.", "No symbol matching '"
+
+
+def graph_lines(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, symbol, fqn, src_path, src_line, caller, line): what the graph says to each question, a row for each line of the
+    answer, so that a symbol that everything calls fills no row of its own. Each symbol that the question's name matches comes
+    first, with nulls for the caller, then its callers; fqn is null where nothing matches. Repeated calls count once."""
     asked = questions.select("query_id", symbol_in(F.col("question")).alias("symbol"))
     named = suffix_lookup(asked.where("symbol is not null"), nodes)
-    found = callers(named, edges.where("kind = 'call'").dropDuplicates(["src", "dst", "src_line"]))
-    line = F.concat(F.lit("- "), "caller", F.lit(" ["), "src_path", F.lit(":"), F.col("src_line").cast("string"), F.lit("-"), F.col("src_line").cast("string"), F.lit("]"))
-    lines = F.array_sort(F.collect_list(F.struct("src_path", "src_line", line.alias("line"))))
-    per = found.groupBy("query_id").agg(lines.alias("ls"), F.count("caller").alias("n"))
-    text = F.array_join(F.transform(F.filter("ls", lambda x: x.line.isNotNull()), lambda x: x.line), "\n")
-    out = asked.join(per, "query_id", "left")
-    answer = (
-        F.when(F.col("symbol").isNull() | F.col("ls").isNull(), F.concat(F.lit("No symbol matching '"), F.coalesce("symbol", F.lit("")), F.lit("'.")))
-        .when(F.col("n") == 0, F.concat(F.lit("'"), "symbol", F.lit("' has no recorded callers.")))
-        .otherwise(text)
-    )
-    return out.select("query_id", "symbol", answer.alias("answer"), F.coalesce("n", F.lit(0)).alias("n_citations"))
+    calls = edges.where("kind = 'call'").groupBy("src", "dst", "src_line").agg(F.min("src_path").alias("src_path")).withColumn("kind", F.lit("call"))
+    found = callers(named, calls).select("query_id", "fqn", "caller", "src_path", "src_line")
+    at = F.concat(F.lit("    - "), "caller", F.lit(" at ["), F.coalesce("src_path", F.lit("")), F.lit(":"), F.col("src_line").cast("string"), F.lit("-"), F.col("src_line").cast("string"), F.lit("]"))
+    heads = found.groupBy("query_id", "fqn").agg(F.count("caller").alias("n"))
+    head = F.concat(F.lit("- "), "fqn", F.when(F.col("n") == 0, NO_CALLERS).otherwise(":"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = heads.select("query_id", "fqn", none("string").alias("src_path"), none("int").alias("src_line"), none("string").alias("caller"), head.alias("line"))
+    rows = rows.unionByName(found.where("caller is not null").select("query_id", "fqn", "src_path", F.col("src_line").cast("int").alias("src_line"), "caller", at.alias("line")))
+    missing = F.concat(F.lit(NO_SYMBOL), F.coalesce("symbol", F.lit("")), F.lit("' in the index."))
+    return asked.join(rows, "query_id", "left").select("query_id", "symbol", "fqn", "src_path", "src_line", "caller", F.coalesce("line", missing).alias("line"))
+
+
+def graph_route(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, symbol, answer, n_citations): `graph_lines` as one text a question, symbols in order of name, callers in order of
+    their place."""
+    rows = graph_lines(questions, nodes, edges)
+    order = F.struct("fqn", F.col("caller").isNotNull().alias("below"), "src_path", "src_line", "caller", "line")
+    per = rows.groupBy("query_id", "symbol").agg(F.array_sort(F.collect_list(order)).alias("ls"), F.count("caller").alias("n_citations"))
+    return per.select("query_id", "symbol", F.array_join(F.transform("ls", lambda x: x.line), "\n").alias("answer"), "n_citations")
 
 
 def community_chunks(hits: DataFrame, members: DataFrame, chunks: DataFrame, per_hit: int = 4) -> DataFrame:

@@ -426,11 +426,30 @@ def router_symbol_detect(spark, d):
     return retrieve.route(_questions(spark, d)).select("query_id", "symbol", "route", "confidence")
 
 
-@query()
-def graph_route(spark, d):
+_GRAPH = """asked AS (SELECT query_id, coalesce(nullif(regexp_extract(question, '\\b([A-Za-z_]\\w*(?:\\.[A-Za-z_]\\w*)+)\\b', 1), ''), nullif(regexp_extract(question, '\\b([A-Za-z_]\\w*)\\s*\\(', 1), ''),
+    nullif(regexp_extract(question, '\\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\\b', 1), '')) AS symbol FROM (SELECT DISTINCT fqn AS query_id, 'Who calls ' || array_to_string(string_split(fqn, '.')[-2:], '.') || '?' AS question FROM nodes WHERE kind IN ('method', 'function'))),
+  n AS (SELECT DISTINCT fqn, unnest(range(1, len(string_split(fqn, '.')) + 1)) AS k FROM nodes WHERE fqn IS NOT NULL), t AS (SELECT fqn, k, lower(array_to_string(string_split(fqn, '.')[k:], '.')) AS tail FROM n),
+  hit AS (SELECT query_id, fqn FROM (SELECT query_id, fqn, row_number() OVER (PARTITION BY query_id ORDER BY fqn) AS rn FROM (SELECT DISTINCT query_id, fqn FROM asked JOIN t ON tail = lower(symbol) WHERE k > 1 OR fqn = symbol)) WHERE rn <= 32),
+  c AS (SELECT src, dst, src_line, min(src_path) AS src_path FROM edges WHERE kind = 'call' AND src IS NOT NULL GROUP BY src, dst, src_line),
+  b AS (SELECT query_id, fqn, count(src) AS n, CASE WHEN count(src) = 0 THEN '- ' || fqn || ' has no recorded callers.' ELSE '- ' || fqn || ':' || chr(10) || string_agg('    - ' || src || ' at [' || coalesce(src_path, '') || ':' || src_line || '-' || src_line || ']',
+    chr(10) ORDER BY src_path NULLS FIRST, src_line, src) END AS t FROM hit LEFT JOIN c ON dst = fqn GROUP BY query_id, fqn)"""
+
+
+def _who_calls(spark, d):
     names = read(spark, d, "nodes").where("kind in ('method', 'function')").select("fqn").distinct()
-    q = names.select(F.col("fqn").alias("query_id"), F.concat(F.lit("Who calls "), F.substring_index("fqn", ".", -2), F.lit("?")).alias("question"))
-    return retrieve.graph_route(q, read(spark, d, "nodes"), read(spark, d, "edges"))
+    return names.select(F.col("fqn").alias("query_id"), F.concat(F.lit("Who calls "), F.substring_index("fqn", ".", -2), F.lit("?")).alias("question"))
+
+
+@query(f"""WITH {_GRAPH} SELECT a.query_id, a.symbol, coalesce(string_agg(t, chr(10) ORDER BY fqn), 'No symbol matching ' || chr(39) || coalesce(a.symbol, '') || chr(39) || ' in the index.') AS answer,
+  CAST(coalesce(sum(n), 0) AS BIGINT) AS n_citations FROM asked a LEFT JOIN b ON b.query_id = a.query_id GROUP BY a.query_id, a.symbol""")
+def graph_route(spark, d):
+    return retrieve.graph_route(_who_calls(spark, d), read(spark, d, "nodes"), read(spark, d, "edges"))
+
+
+@query(f"""WITH {_GRAPH} SELECT a.query_id, count(DISTINCT hit.fqn) AS n_symbols, count(src) AS n_callers FROM asked a LEFT JOIN hit ON hit.query_id = a.query_id LEFT JOIN c ON dst = hit.fqn GROUP BY a.query_id""")
+def graph_lines(spark, d):
+    r = retrieve.graph_lines(_who_calls(spark, d), read(spark, d, "nodes"), read(spark, d, "edges"))
+    return r.groupBy("query_id").agg(F.sum((F.col("fqn").isNotNull() & F.col("caller").isNull()).cast("bigint")).alias("n_symbols"), F.count("caller").alias("n_callers"))
 
 
 @query()
@@ -505,22 +524,46 @@ def permalink_render(spark, d):
     return _spans(spark, d).select("chunk_id", S.permalink(F.lit("https://host"), F.lit("r"), F.lit("abc"), F.col("path"), F.col("start_line"), F.col("end_line")).alias("url"))
 
 
-@query()
+@query("""WITH c AS (SELECT chunk_id, max({'r': repo, 'path': path, 'lo': start_line, 'hi': end_line, 's': symbol, 't': text}) AS x FROM chunks GROUP BY chunk_id),
+  b AS (SELECT x.r AS repo, x.path AS path, x.lo AS lo, chunk_id, string_split(regexp_replace(x.t, '\\r\\n?', chr(10), 'g'), chr(10)) AS ls, '<retrieved_chunk path="' || x.path || '" lines="' || x.lo || '-' || x.hi || '"' || coalesce(' symbol="' || x.s || '"', '') || '>' AS head, x.t AS t FROM c)
+  SELECT repo, path, string_agg(head || chr(10) || CASE WHEN len(ls) <= 80 THEN t ELSE array_to_string(ls[1:80], chr(10)) || chr(10) || '... (' || (len(ls) - 80) || ' more lines)' END || chr(10) || '</retrieved_chunk>', chr(10) || chr(10) ORDER BY lo, chunk_id) AS prompt
+  FROM b GROUP BY repo, path""")
 def prompt_render(spark, d):
     """The chunks of each file as one prompt, in order of their lines."""
-    c = read(spark, d, "chunks").dropDuplicates(["chunk_id"])
+    c = read(spark, d, "chunks").groupBy("chunk_id").agg(F.max(F.struct("repo", "path", "start_line", "end_line", "symbol", "text")).alias("r")).select("chunk_id", "r.*")
     block = S.render_chunk(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("symbol"), S.truncate_lines(F.col("text")))
     g = c.groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.struct("start_line", "chunk_id", block.alias("b")))).alias("bs"))
     return g.select("repo", "path", F.array_join(F.transform("bs", lambda x: x.b), "\n\n").alias("prompt"))
 
 
-@query()
-def answer_dispatch(spark, d):
-    """Every evaluation item through its route, with the chunks that BM25 ranks first and the offline model."""
+def _dispatched(spark, d):
     q = _questions(spark, d)
     c = read(spark, d, "chunks").groupBy("chunk_id").agg(F.max(F.struct("created_at", "path", "start_line", "end_line", "symbol", "text")).alias("r")).select("chunk_id", "r.*")
     got = text.bm25(q, _chunk_texts(spark, d), "chunk_id", "text", 8).join(c, F.col("doc") == F.col("chunk_id"))
-    return answer.dispatch(q, read(spark, d, "nodes"), read(spark, d, "edges"), got, got.limit(0))
+    # all items by their own route, and once more by the hint for communities, which fall back to hybrid where nothing is similar
+    both = q.withColumn("route_hint", F.lit("auto")).unionByName(q.select((-F.col("query_id") - 1).alias("query_id"), "question", F.lit("community").alias("route_hint")))
+    return both, got
+
+
+@query()
+def answer_dispatch(spark, d):
+    """Every evaluation item through its route, with the chunks that BM25 ranks first and the offline model, and once more through
+    the community route, with the chunks of the classes of the repository that holds the best of them."""
+    both, got = _dispatched(spark, d)
+    repo = read(spark, d, "chunks").groupBy(F.col("chunk_id").alias("r_id")).agg(F.max("repo").alias("community_id"))
+    hits = got.where("rank = 1").join(repo, F.col("chunk_id") == F.col("r_id")).select((-F.col("query_id") - 1).alias("query_id"), F.lit(1).alias("hit_rank"), "community_id").where("community_id is not null")
+    members = read(spark, d, "nodes").where("fqn is not null").select(F.col("repo").alias("community_id"), "fqn", (F.col("kind") == "class").alias("is_seed")).distinct()
+    c = read(spark, d, "chunks").groupBy("chunk_id").agg(F.max(F.struct("created_at", "path", "start_line", "end_line", "symbol", "text")).alias("r")).select("chunk_id", "r.*")
+    own = retrieve.community_chunks(hits, members, c).join(c, "chunk_id").select("query_id", F.col("place").alias("rank"), "path", "start_line", "end_line", "symbol", "text")
+    fallback = got.unionByName(got.withColumn("query_id", -F.col("query_id") - 1))
+    return answer.dispatch(both, read(spark, d, "nodes"), read(spark, d, "edges"), fallback, own)
+
+
+@query("""SELECT count(*) AS n, count(DISTINCT query_id) AS n_ids, true AS all_valid FROM (SELECT item_id AS query_id FROM eval_items UNION ALL SELECT -item_id - 1 FROM eval_items)""")
+def answer_checks(spark, d):
+    """Each question has one answer, and no answer cites what was not retrieved."""
+    a = answer_dispatch(spark, d)
+    return a.agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("n_ids"), F.min(F.coalesce("valid", F.lit(False)) & F.col("answer").isNotNull()).alias("all_valid"))
 
 
 @query()

@@ -41,7 +41,7 @@ def test_suffix_callers_and_route(spark):
     edges = spark.createDataFrame([("m.f", "pkg.auth.User.login", "call", "m.py", 3, 1, 1)], "src string, dst string, kind string, src_path string, src_line int, weight int, indexed_at bigint")
     q = spark.createDataFrame([(1, "who calls User.login?"), (2, "who calls User.logout?"), (3, "hello")], "query_id int, question string")
     ans = {r.query_id: r for r in retrieve.graph_route(q, nodes, edges).collect()}
-    assert ans[1].answer == "- m.f [m.py:3-3]" and ans[1].n_citations == 1
+    assert ans[1].answer == "- pkg.api.User.login has no recorded callers.\n- pkg.auth.User.login:\n    - m.f at [m.py:3-3]" and ans[1].n_citations == 1
     assert ans[2].answer.startswith("No symbol matching 'User.logout'") and ans[3].n_citations == 0
     with pytest.raises(ValueError):
         graph.neighbours(asked, edges, None, "up")
