@@ -55,19 +55,22 @@ class CodeIndex:
         """References of all live files, and the definition edges of the whole table of symbols."""
         return code.weighed(self._rows("references").unionByName(code.definitions(self.nodes())))
 
-    def run(self, files: DataFrame, force: bool = False) -> DataFrame:
+    def run(self, files: DataFrame, force: bool = False, partial: bool = False) -> DataFrame:
         """Takes up files (repo, path, text, file_sha), one row a file, the tree as it is now, and gives the manifest: (repo,
         change, status, n_files, n_symbols, n_chunks), where change is added, modified, unchanged or deleted, and rows are
         counted for files that were read. Only added and modified files are read, with `force` all. A null fingerprint differs
-        from all but null; rows with a null path are left out."""
+        from all but null; rows with a null path are left out. With `partial` the files are those of some repositories only, and all
+        others stay as they are."""
         files = files.where("path is not null")
         before = self.live()
         runs = self.runs()
         number = (runs[-1] + 1) if runs else 0
         base = f"{self.folder}/data/run-{number}-{uuid.uuid4().hex}"
-        old = before.select(*FILE, "file_sha") if before is not None else files.select(*FILE, "file_sha").limit(0)
         # a null repository is one of its own; joins by name would lose it
         key = lambda df: df.withColumn("r", F.coalesce(F.concat(F.lit("+"), "repo"), F.lit("-")))
+        named = key(files).select("r").distinct()
+        mine = key(before).join(named, "r", "left_semi") if before is not None and partial else before
+        old = mine.select(*FILE, "file_sha") if before is not None else files.select(*FILE, "file_sha").limit(0)
         changes = change_set(key(old).select("r", "path", F.lower("file_sha").alias("file_sha")), key(files).select("r", "path", F.lower("file_sha").alias("file_sha")), ["r", "path"], "file_sha")
         changes.write.parquet(f"{base}/changes")
         changes = self.spark.read.parquet(f"{base}/changes").withColumn("repo", F.when(F.col("r") != "-", F.substring("r", 2, 1 << 30)))
@@ -89,6 +92,8 @@ class CodeIndex:
             kept = changes.where("change = 'unchanged'").select("r", F.col("path").alias("t_path"))
             b = key(before)
             live = live.unionByName(b.join(kept, (b.r == kept.r) & (b.path == kept.t_path), "left_semi").drop("r"))
+        if before is not None and partial:
+            live = live.unionByName(key(before).join(named, "r", "left_anti").drop("r"))
         live.write.parquet(f"{base}/live")
         if not claim(self.spark, f"{self.folder}/runs/{number}", base):
             remove(self.spark, base)

@@ -41,6 +41,8 @@ def term_frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 #: Questions are scored against all documents; a larger set than this must be split by the caller.
 MOST_QUESTIONS = 20_000
+#: Entries of the matrix of term weights that questions are scored by at once.
+MOST_WEIGHTS = 2_000_000
 _WORD = re.compile("[A-Za-z0-9]+")
 
 
@@ -70,35 +72,41 @@ def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int
     mean = stats.agg(F.avg("raw")).first()[0] or 0.0
     wanted = queries.select(F.explode(tokens(F.col("question"))).alias("term")).distinct()
     idf = {r.term: r.raw if r.raw >= 0 else 0.25 * mean for r in small_rows(stats.join(wanted, "term"), "the questions' terms", 1_000_000)}
-    place = {t: i for i, t in enumerate(sorted(idf))}
-    ids = [r.query_id for r in asked]
-    weights = np.zeros((len(place), len(ids)))
-    for j, r in enumerate(asked):
-        for t in r.ts:
-            if t in place:
-                weights[place[t], j] += idf[t] * (k1 + 1)
+    blocks, rows, place, ids = [], [], {}, []
+    for r in asked:  # questions in blocks whose weights fit a small matrix
+        own = [t for t in r.ts if t in idf]
+        if ids and (len(place) + len(own)) * (len(ids) + 1) > MOST_WEIGHTS:
+            blocks.append((ids, place, np.array(rows, float).reshape(-1, 3)))
+            rows, place, ids = [], {}, []
+        rows += [(place.setdefault(t, len(place)), len(ids), idf[t] * (k1 + 1)) for t in own]
+        ids.append(r.query_id)
+    blocks.append((ids, place, np.array(rows, float).reshape(-1, 3)))
+    blocks = [b for b in blocks if b[1]]
 
     def score(batches):
         for batch in batches:
             keys, texts = np.array(batch.column("doc").to_pylist()), batch.column("text").to_pylist()
             for a in range(0, len(keys), 512):
                 part = [_words(t) for t in texts[a : a + 512]]
-                tf = np.zeros((len(part), len(place)))
-                for i, ws in enumerate(part):
-                    for w in ws:
-                        if w in place:
-                            tf[i, place[w]] += 1
                 dl = np.array([max(1, len(ws)) for ws in part])[:, None]
-                s = np.round((tf / np.where(tf > 0, tf + k1 * (1 - b + b * dl / avgdl), 1)) @ weights, 6).T
-                top = np.lexsort((np.broadcast_to(keys[a : a + 512], s.shape), -s), axis=1)[:, :k]
-                got = np.take_along_axis(s, top, 1)
-                q, j = np.nonzero(got > 0)
-                cols = [[ids[i] for i in q], keys[a : a + 512][top[q, j]].tolist(), got[q, j]]
+                cols: list[list] = [[], [], []]
+                for ids, place, entries in blocks:
+                    weights = np.zeros((len(place), len(ids)))
+                    np.add.at(weights, (entries[:, 0].astype(int), entries[:, 1].astype(int)), entries[:, 2])
+                    at = [(i, place[w]) for i, ws in enumerate(part) for w in ws if w in place]
+                    tf = np.zeros((len(part), len(place)))
+                    np.add.at(tf, tuple(np.array(at, int).reshape(-1, 2).T), 1)
+                    s = np.round((tf / np.where(tf > 0, tf + k1 * (1 - b + b * dl / avgdl), 1)) @ weights, 6).T
+                    top = np.lexsort((np.broadcast_to(keys[a : a + 512], s.shape), -s), axis=1)[:, :k]
+                    got = np.take_along_axis(s, top, 1)
+                    q, j = np.nonzero(got > 0)
+                    for col, new in zip(cols, ([ids[i] for i in q], keys[a : a + 512][top[q, j]].tolist(), got[q, j].tolist())):
+                        col += new
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["query_id", "doc", "score"])
 
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     types = [arrow[kinds[0]], arrow[kinds[1]], pa.float64()]
-    if not place or not ids:
+    if not blocks:
         return spark.createDataFrame([], schema + ", rank int")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc")
     found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(score, schema)

@@ -454,10 +454,11 @@ def graph_lines(spark, d):
 
 @query()
 def community_chunks(spark, d):
-    """Repositories stand for communities, in order of name; their seeds are their classes."""
+    """Repositories stand for communities; those with the same first letter are one question's hits, in order of name. Their seeds
+    are their classes."""
     repos = read(spark, d, "nodes").select(F.col("repo").alias("community_id")).where("repo is not null").distinct()
-    w = Window.orderBy("community_id")  # a few dozen repositories
-    hits = repos.withColumn("hit_rank", F.row_number().over(w)).withColumn("query_id", F.pmod("hit_rank", F.lit(7)))
+    hits = repos.withColumn("query_id", F.substring("community_id", 1, 1))
+    hits = hits.withColumn("hit_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("community_id")))
     members = read(spark, d, "nodes").select(F.col("repo").alias("community_id"), "fqn", (F.col("kind") == "class").alias("is_seed")).distinct()
     return retrieve.community_chunks(hits, members, read(spark, d, "chunks"))
 
@@ -650,10 +651,10 @@ def composite_score(spark, d):
   SELECT count(*) AS n, CAST(sum(CASE WHEN a.x = b.x THEN 1 ELSE 0 END) AS BIGINT) AS n_equal FROM a LEFT JOIN b USING (dst)""")
 def caller_set_precision(spark, d):
     """Exact equality of caller sets, here of all callers and of those after line 10."""
-    e = read(spark, d, "edges").where("kind = 'call'")
-    sets = lambda x, n: x.groupBy("dst").agg(F.array_sort(F.collect_set("src")).alias(n))
-    j = sets(e, "a").join(sets(e.where("src_line > 10"), "b"), "dst", "left")
-    return j.agg(F.count("*").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), 1).otherwise(0)).alias("n_equal"))
+    e = read(spark, d, "edges").where("kind = 'call'").groupBy("dst", "src").agg(F.max(F.coalesce(F.col("src_line") > 10, F.lit(False)).cast("bigint")).alias("late"))
+    # sets are equal if no caller is missing from either, which a count of the pairs tells without gathering a set
+    per = e.where("dst is not null and src is not null").groupBy("dst").agg(F.count("*").alias("a"), F.sum("late").alias("b"))
+    return per.agg(F.count("*").alias("n"), F.sum((F.col("a") == F.col("b")).cast("bigint")).alias("n_equal"))
 
 
 # ---- source to symbols ----
