@@ -27,6 +27,23 @@ def retry_prompt(dropped: Column) -> Column:
     return F.concat(F.lit(FORBID), F.array_join(F.transform(dropped, lambda c: F.concat(c.path, F.lit(":"), c.lo.cast("string"), F.lit("-"), c.hi.cast("string"))), ", "))
 
 
+def router_prompt(question: Column) -> Column:
+    """Asks a model for the route of a question, to be read by `scalars.route_of`."""
+    ask = 'Choose how to answer: "graph" for who calls or uses a symbol, "community" for how parts of the code work together, else "hybrid". Reply with JSON: {"route": ..., "confidence": 0 to 1, "reason": ...}'
+    return F.concat_ws("\n\n", F.lit(ask), F.concat(F.lit("Question: "), question))
+
+
+def community_prompt(question: Column, communities: Column, blocks: Column) -> Column:
+    """Summaries of communities as the wider view, and chunks as the only thing to cite."""
+    return F.concat_ws("\n\n", F.lit(INSTRUCTION), F.lit("The communities tell how the code hangs together; do not cite them."), communities, blocks, F.concat(F.lit("Question: "), question))
+
+
+def reduce_prompt(children: Column) -> Column:
+    """Asks for one summary of several; a list without any is an error while it runs."""
+    some = F.filter(F.coalesce(children, F.array().cast("array<string>")), lambda c: c.isNotNull())
+    return F.when(F.size(some) == 0, F.raise_error(F.lit("no summaries to join"))).otherwise(F.concat(F.lit("Join these summaries into one:\n\n"), F.array_join(some, "\n\n")))
+
+
 def community_block(community_id: Column, title: Column, summary: Column) -> Column:
     """A community for a prompt; double quotes in its title become single ones."""
     return F.concat(F.lit('<community id="'), community_id.cast("string"), F.lit('" title="'), F.translate(F.coalesce(title, F.lit("")), '"', "'"), F.lit('">\n'), F.coalesce(summary, F.lit("")), F.lit("\n</community>"))

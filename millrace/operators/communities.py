@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import leiden
 from millrace.operators.answer import Model
+from millrace.operators.graph import content_sha, seed_members, symmetrise
+from millrace.operators.tables import summary_cache
+from millrace.session import written
 
 PLACEHOLDER = "<auto-summary unavailable>"
 
@@ -83,3 +87,33 @@ def storable_vectors(vectors: DataFrame, communities: DataFrame) -> tuple[DataFr
     """(kept, refused): vectors of summarised communities whose summary is a real one, and the others."""
     real = communities.where(F.col("summarized_at").isNotNull() & (F.coalesce("summary", F.lit("")) != "") & (F.col("summary") != PLACEHOLDER)).select("community_id").distinct()
     return vectors.join(real, "community_id", "left_semi"), vectors.join(real, "community_id", "left_anti")
+
+
+def community_stage(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, file_sha: DataFrame, model: Model, before: DataFrame | None = None, embed=None) -> dict[str, DataFrame]:
+    """The community tables of an index: `communities` (repo, level, community_id, parent_id, member_count, content_sha, title,
+    summary, from_cache), `members` (community_id, fqn, is_seed) of all levels, seeds on the first, and with `embed`, a function of
+    the summary's column, `vectors` (community_id, vector) of those with a real summary. before (content_sha, detected_at, title,
+    summary) are the communities of the last run: where the content is the same, their summaries are taken over."""
+    own = nodes.where("fqn is not null").groupBy("fqn").agg(F.max("repo").alias("repo"))
+    g = symmetrise(edges, nodes).join(own.withColumnRenamed("fqn", "a"), "a").select("repo", "a", "b", "weight")
+    levels = written(leiden.communities(g), "levels")
+    found = written(with_ids(leiden.parents(levels)), "communities")
+    at = found.select(F.col("repo").alias("c_repo"), F.col("level").alias("c_level"), F.col("cluster").alias("c_cluster"), "community_id")
+    members = levels.join(at, levels.repo.eqNullSafe(at.c_repo) & (levels.level == at.c_level) & (levels.cluster == at.c_cluster)).select("community_id", "level", "fqn")
+    members = written(members, "members")
+    seeds = seed_members(members.where("level = 0").select("community_id", "fqn"), edges, chunks, by_leaf=True)
+    marked = mark_seeds(members.select("community_id", "fqn"), seeds)
+    sha = content_sha(members.select("community_id", "fqn"), nodes, file_sha)
+    told = summarise(levels, model).select(F.col("repo").alias("t_repo"), F.col("level").alias("t_level"), F.col("cluster").alias("t_cluster"), "title", "summary")
+    rows = found.join(sha, "community_id", "left")
+    rows = rows.join(told, rows.repo.eqNullSafe(told.t_repo) & (rows.level == told.t_level) & (rows.cluster == told.t_cluster), "left")
+    if before is not None:
+        kept = summary_cache(rows.select("community_id", "content_sha"), before, PLACEHOLDER).select(F.col("community_id").alias("k_id"), F.col("title").alias("k_title"), F.col("summary").alias("k_summary"), "from_cache")
+        rows = rows.join(kept, rows.community_id == kept.k_id, "left").withColumn("title", F.coalesce("k_title", "title")).withColumn("summary", F.coalesce("k_summary", "summary"))
+    else:
+        rows = rows.withColumn("from_cache", F.lit(False))
+    table = written(rows.select("repo", "level", "community_id", "parent_id", "member_count", "content_sha", "title", F.coalesce("summary", F.lit(PLACEHOLDER)).alias("summary"), "from_cache"), "community_table")
+    out = {"communities": table, "members": marked}
+    if embed is not None:
+        out["vectors"] = table.where(F.col("summary") != PLACEHOLDER).select("community_id", embed(F.col("summary")).alias("vector"))
+    return out

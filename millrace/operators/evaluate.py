@@ -118,3 +118,18 @@ def question_report(answers: DataFrame, expected: DataFrame) -> DataFrame:
     j = a.select("query_id", F.coalesce("valid", F.lit(False)).alias("grounded"), share.alias("path_recall")).join(over, "query_id", "left")
     j = j.select("query_id", "grounded", "path_recall", F.coalesce("cited", F.lit(1.0)).alias("citation_recall"))
     return j.withColumn("score", composite(F.col("grounded"), F.col("path_recall"), F.col("citation_recall")))
+
+
+def caller_report(questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, symbol, n_expected, n_found, n_both, exact) for questions (id, symbol, expected: array of names): the callers found by
+    the graph against those expected, by counts of pairs, so that no set of callers is gathered."""
+    from millrace.operators.graph import callers, suffix_lookup
+
+    q = questions.select("id", "symbol", F.array_distinct(F.coalesce("expected", F.array().cast("array<string>"))).alias("expected"))
+    hit = suffix_lookup(q.select(F.col("id").alias("query_id"), "symbol"), nodes)
+    got = callers(hit, edges).where("caller is not null").select(F.col("query_id").alias("id"), F.col("caller").alias("name")).distinct().withColumn("found", F.lit(1))
+    want = q.select("id", F.explode("expected").alias("name")).withColumn("wanted", F.lit(1))
+    both = want.join(got, ["id", "name"], "full_outer").groupBy("id").agg(F.count("found").alias("n_found"), F.sum((F.col("found").isNotNull() & F.col("wanted").isNotNull()).cast("bigint")).alias("n_both"))
+    out = q.select("id", "symbol", F.size("expected").cast("bigint").alias("n_expected")).join(both, "id", "left")
+    out = out.withColumn("n_found", F.coalesce("n_found", F.lit(0))).withColumn("n_both", F.coalesce("n_both", F.lit(0)))
+    return out.withColumn("exact", (F.col("n_found") == F.col("n_expected")) & (F.col("n_both") == F.col("n_expected")))

@@ -39,6 +39,14 @@ def rerank(candidates: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k)
 
 
+def rerank_by(candidates: DataFrame, k: int, score) -> DataFrame:
+    """Candidates (query_id, question, item, text, rank) by `score`, a function of the question's and the text's column, such as a
+    pandas UDF over a cross-encoder; ties keep the candidates' order, null scores come last."""
+    scored = candidates.withColumn("score", score(F.col("question"), F.col("text")).cast("double"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "rank")
+    return scored.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k)
+
+
 def hybrid(queries: DataFrame, dense: DataFrame, sparse: DataFrame, chunks: DataFrame, top_k: int = 8, cut: int = 20, reranking: bool = True, repo: str | None = None) -> DataFrame:
     """(query_id, rank, item, path, start_line, end_line, score): fusion, cut, hydration, reranking."""
     fused = fuse(dense, sparse)

@@ -8,6 +8,7 @@ import io
 import json
 import math
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,6 +83,27 @@ def hash_embed(text: Column, dim: int = 64) -> Column:
     return run(text)
 
 
+def embed_by(text: Column, load, dim: int) -> Column:
+    """Vectors of unit length by a model: `load` gives, once a task, a function from a list of texts to their vectors. A vector of
+    another length than `dim` is an error; null texts give null."""
+
+    def run(it):
+        model = load()
+        for s in it:
+            some = s[s.notna()]
+            got = np.asarray(model(some.tolist()), np.float32).reshape(len(some), -1) if len(some) else np.zeros((0, dim), np.float32)
+            if got.shape[1] != dim:
+                raise ValueError(f"the model gives vectors of length {got.shape[1]}, not {dim}")
+            n = np.linalg.norm(got, axis=1, keepdims=True)
+            out = pd.Series([None] * len(s), dtype=object)
+            for at, v in zip(np.flatnonzero(s.notna()), got / np.where(n > 0, n, 1)):
+                out.iat[at] = v
+            yield out
+
+    run.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<float>")(text)
+
+
 def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """Distances (queries x rows)."""
     if metric == "l2":

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import scalars as S
-from millrace.operators import answer, code, evaluate, graph, leiden, retrieve, tables, text, vector
+from millrace.operators import answer, communities, evaluate, graph, leiden, retrieve, tables, text, vector
 from millrace.operators.changes import latest_by
 from millrace.operators.index import CodeIndex
 from millrace.queries.reference import _chunk_texts, _labelled, _queries, _questions, _vectors
@@ -300,6 +300,27 @@ def leiden_invariants(spark, d):
     return placed.join(parted, "repo", "left").withColumn("n_split", F.coalesce("n_split", F.lit(0)))
 
 
+@query("""WITH n AS (SELECT fqn, max(repo) AS repo FROM nodes WHERE fqn IS NOT NULL GROUP BY fqn), g AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b
+  FROM edges WHERE kind IN ('call', 'inherit') AND src <> dst AND src IN (SELECT fqn FROM n) AND dst IN (SELECT fqn FROM n)), v AS (SELECT repo, a AS x FROM g JOIN n ON n.fqn = a UNION SELECT repo, b FROM g JOIN n ON n.fqn = a)
+  SELECT repo, count(*) AS n_leaf_members, CAST(0 AS BIGINT) AS n_lost_parents, CAST(0 AS BIGINT) AS n_without_summary, true AS all_kept FROM v GROUP BY repo""")
+def community_index(spark, d):
+    """The community stage twice, the second with the summaries of the first: members of leaves, parents that are not there, and
+    whether every real summary was taken over, per repository."""
+    n, e, c = (read(spark, d, t) for t in ("nodes", "edges", "chunks"))
+    sha = read(spark, d, "source_files").groupBy("repo", "path").agg(F.max("file_sha").alias("file_sha"))
+    model = lambda p: F.concat(F.lit("It holds "), F.substring(F.regexp_replace(p, "\\s+", " "), 1, 60))
+    first = communities.community_stage(n, e, c, sha, model)
+    before = first["communities"].select("content_sha", F.lit(1).alias("detected_at"), "title", "summary")
+    out = communities.community_stage(n, e, c, sha, lambda p: F.lit("Another text of enough length."), before, lambda s: vector.hash_embed(s, 16))
+    t = out["communities"]
+    ids = t.select(F.col("community_id").alias("p_id"))
+    up = t.join(ids, t.parent_id == ids.p_id, "left")
+    of = t.select("repo", "level", "community_id")
+    leaf = out["members"].join(of.where("level = 0"), "community_id").groupBy("repo").agg(F.count("*").alias("n_leaf_members"))
+    sums = up.groupBy("repo").agg(F.sum((F.col("parent_id").isNotNull() & F.col("p_id").isNull()).cast("bigint")).alias("n_lost_parents"), F.sum(F.col("summary").isNull().cast("bigint")).alias("n_without_summary"), F.min(F.col("from_cache") & F.col("summary").startswith("It holds")).alias("all_kept"))
+    return leaf.join(sums, leaf.repo.eqNullSafe(sums.repo)).select(leaf.repo, "n_leaf_members", "n_lost_parents", "n_without_summary", "all_kept")
+
+
 def _community_answers(spark: SparkSession, d: str) -> DataFrame:
     q = _questions(spark, d).withColumn("route_hint", F.lit("community"))
     v = _community_vectors(spark, d)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import evaluate, text, vector
+from millrace.operators import answer, evaluate, retrieve, text, vector
 from millrace.operators.index import CodeIndex
 from millrace.session import fresh_path
 from millrace.sources import bench
@@ -82,3 +82,25 @@ def test_questions_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(text, "MOST_WEIGHTS", 30)
     assert sorted(map(tuple, text.bm25(q, docs, "id", "text", 5).collect())) == whole and len(whole) > 30
     assert evaluate.sweep(q.limit(0).selectExpr("query_id", "array(1f) as vector"), vector.synthetic(spark, 60, 1), (4,), (10,), (16,), 3, "l2").count() == 1
+
+
+def test_models_are_columns(spark):
+    df = spark.createDataFrame([(1, "q", "a", "xx", 1), (1, "q", "b", "xxxx", 2), (1, "q", "c", None, 3)], "query_id int, question string, item string, text string, rank int")
+    got = retrieve.rerank_by(df, 3, lambda q, t: F.length(t)).orderBy("new_rank").collect()
+    assert [r.item for r in got] == ["b", "a", "c"]
+    v = df.select(vector.embed_by(F.col("text"), lambda: lambda ts: [[len(t), 0.0] for t in ts], 2).alias("v")).collect()
+    assert [r.v for r in v] == [[1.0, 0.0], [1.0, 0.0], None]
+    with pytest.raises(Exception, match="length 1, not 2"):
+        df.select(vector.embed_by(F.col("text"), lambda: lambda ts: [[1.0] for _ in ts], 2)).collect()
+    p = df.limit(1).select(answer.router_prompt(F.col("question")).alias("r"), answer.community_prompt(F.col("question"), F.lit("C"), F.lit("B")).alias("c"), answer.reduce_prompt(F.array(F.lit("one"), F.lit("two"))).alias("d")).first()
+    assert p.r.endswith("Question: q") and "C\n\nB\n\nQuestion: q" in p.c and p.d.endswith("one\n\ntwo")
+    with pytest.raises(Exception, match="no summaries"):
+        df.select(answer.reduce_prompt(F.array().cast("array<string>"))).collect()
+
+
+def test_caller_report(spark):
+    nodes = spark.createDataFrame([("m.C.f",), ("m.g",), ("m.h",)], "fqn string")
+    edges = spark.createDataFrame([("m.g", "m.C.f", "call", "m.py", 1, 1, 1), ("m.h", "m.C.f", "call", "m.py", 2, 1, 1), ("m.h", "m.C.f", "call", "m.py", 9, 1, 1)], "src string, dst string, kind string, src_path string, src_line int, weight int, indexed_at bigint")
+    q = spark.createDataFrame([("1", "C.f", ["m.g", "m.h"]), ("2", "C.f", ["m.g"]), ("3", "g", None), ("4", "g", ["x"])], "id string, symbol string, expected array<string>")
+    got = {r.id: (r.n_expected, r.n_found, r.n_both, r.exact) for r in evaluate.caller_report(q, nodes, edges).collect()}
+    assert got == {"1": (2, 2, 2, True), "2": (1, 2, 1, False), "3": (0, 0, 0, True), "4": (1, 0, 0, False)}
