@@ -1,8 +1,8 @@
 """References to records that do not exist.
 
-Distinct non-null keys with their month and row count come first (partial aggregation on the map
-side makes one hot key a handful of rows), then a left anti-join against the parent keys, then the
-counts per table, column and month.
+References are counted per column, key and month first (partial aggregation on the map side makes one
+hot key a handful of rows). Their distinct keys, each once whatever refers to it, are left anti-joined
+against the parent keys; the keys that are left are joined back to the counts per table, column and month.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ def orphan_references(child: DataFrame, table_name: str, fk_columns: list[str],
     if ignore is not None:
         refs = refs.where(~ignore)
     refs = refs.groupBy("column_name", "ref_key", "ref_month").agg(F.count("*").alias("n_rows"))
+    lost = refs.select(F.col("ref_key").alias("lost_key")).distinct()
     for p in parents:
-        refs = refs.join(p.select(F.col("key").alias("parent_key")), F.col("ref_key") == F.col("parent_key"), "left_anti")
+        lost = lost.join(p.select(F.col("key").alias("parent_key")), F.col("lost_key") == F.col("parent_key"), "left_anti")
+    refs = refs.join(lost, F.col("ref_key") == F.col("lost_key"), "left_semi")
     return refs.select(F.lit(table_name).alias("table_name"), "column_name", "ref_key", "ref_month", "n_rows")
 
 

@@ -11,9 +11,9 @@ from millrace.functions import scalars as S
 from millrace.operators import answer, communities, evaluate, graph, leiden, retrieve, tables, text, vector
 from millrace.operators.changes import latest_by
 from millrace.operators.index import CodeIndex
-from millrace.queries.reference import _chunk_texts, _labelled, _queries, _questions, _vectors
+from millrace.queries.reference import _chunk_texts, _queries, _questions, _vectors
 from millrace.queries.tables import read
-from millrace.session import fresh_path, small_rows, written
+from millrace.session import fresh_path, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
