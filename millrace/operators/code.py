@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,31 @@ PARSED = (
 )
 
 
+#: How many top-level pieces may make one statement where a file is damaged, as a long string or bracket does.
+MOST_PIECES = 20
+_GOES_ON = re.compile(r"[)\]}]|(?:elif|else|except|finally)\b")
+
+
+def partial_tree(text: str) -> ast.Module:
+    """The top-level statements of a damaged file that parse by themselves, at their places."""
+    lines = text.split("\n")
+    starts = [i for i, x in enumerate(lines) if x and not x[0].isspace() and x[0] != "#" and not _GOES_ON.match(x)]
+    cuts, body, k = [*starts, len(lines)], [], 0
+    while k < len(starts):
+        for z in range(k + 1, min(k + 1 + MOST_PIECES, len(cuts))):
+            try:
+                part = ast.parse("\n".join(lines[cuts[k] : cuts[z]]))
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                continue
+            ast.increment_lineno(part, cuts[k])
+            body += part.body
+            k = z
+            break
+        else:
+            k += 1
+    return ast.Module(body=body, type_ignores=[])
+
+
 class _Visitor:
     def __init__(self, source: str, module: str):
         self.source, self.module, self.lines = source, module, source.split("\n")
@@ -97,8 +123,8 @@ class _Visitor:
 
 
 def parse_python(files: DataFrame) -> DataFrame:
-    """`PARSED` for files (repo, path, text): status `ok`, `parse_error` (syntax, or more than `MAX_BYTES`) or `unsupported`.
-    A null text counts as empty."""
+    """`PARSED` for files (repo, path, text): status `ok`, `parse_error` (syntax, or more than `MAX_BYTES`) or `unsupported`. Of a file
+    with errors the top-level statements that parse by themselves are taken. A null text counts as empty."""
 
     def run(batches):
         for b in batches:
@@ -112,9 +138,13 @@ def parse_python(files: DataFrame) -> DataFrame:
                 else:
                     v = _Visitor(text or "", module)
                     try:
-                        v.run(ast.parse(text or ""))
+                        tree = ast.parse(text or "")
+                    except (SyntaxError, ValueError, RecursionError, MemoryError):
+                        row["status"], tree = "parse_error", partial_tree(text)
+                    try:
+                        v.run(tree)
                         row |= {"defs": v.defs, "edges": v.edges, "bindings": v.bindings, "chunks": v.chunks}
-                    except (SyntaxError, ValueError, RecursionError):
+                    except RecursionError:  # too deep to be walked
                         row["status"] = "parse_error"
                 out.append(row)
             yield pa.RecordBatch.from_pylist(out, schema=_PARSED_ARROW)

@@ -30,7 +30,7 @@ def rows_of(index):
 def test_second_run_reads_what_changed_and_equals_a_rebuild(spark):
     index = CodeIndex(spark, fresh_path(spark, "index"))
     first = counts(index.run(tree(spark, FIRST)))
-    assert first["r", "added", "ok"][0] == 4 and first["r", "added", "unsupported"] == (1, 0) and first["r", "added", "no language"] == (1, 0) and first["r", "added", "parse_error"] == (1, 0) and first[None, "added", "ok"][0] == 1
+    assert first["r", "added", "ok"][0] == 4 and first["r", "added", "unsupported"] == (1, 0) and first["r", "added", "no language"] == (1, 0) and first["r", "added", "parse_error"] == (1, 1) and first[None, "added", "ok"][0] == 1
     again = counts(index.run(tree(spark, FIRST)))
     assert {k[1:] for k in again} == {("unchanged", "cached")} and sum(n for n, _ in again.values()) == 8
     now = [f for f in FIRST if f[1] != "gone.py" and f[1] != "keep.py"] + [("r", "keep.py", ""), ("r", "new.py", "import keep\n"), ("r", None, "x")]
@@ -122,3 +122,15 @@ def test_evaluation_and_summaries(spark):
     rep = {r.query_id: r for r in evaluate.question_report(answers, expected).collect()}
     assert rep[1].path_recall == 0.5 and rep[1].citation_recall == 0.5 and abs(rep[1].score - 0.75) < 1e-9 and rep[2].score == 0.5
     assert json.dumps(sorted(rep)) == "[1, 2]"
+
+
+def test_damaged_files_give_what_parses(spark):
+    from millrace.operators import code
+
+    text = "import os\n\n@dec\ndef f(a,\n      b):\n    g()\n\ndef broken(:\n    x = 1\n\nclass C:\n    def m(self):\n        self.m()\n<<<<<<< HEAD\nif a:\n    pass\nelse:\n    h()\n"
+    p = code.parse_python(spark.createDataFrame([("r", "d.py", text), ("r", "e.py", "(" * 300), ("r", "f.py", "x = \0"), ("r", "deep.py", "x = " + "-" * 100_000 + "1")], "repo string, path string, text string"))
+    rows = {r.path: r for r in p.collect()}
+    d = rows["d.py"]
+    assert d.status == "parse_error" and {(x.fqn, x.start) for x in d.defs} == {("d", 1), ("d.f", 3), ("d.C", 11), ("d.C.m", 12)}
+    assert {(x.kind, x.dst, x.line) for x in d.edges} == {("import", "os", 1), ("call", "g", 6), ("call", "self.m", 13), ("call", "h", 18)}
+    assert all(rows[x].status == "parse_error" for x in ("e.py", "f.py", "deep.py"))
