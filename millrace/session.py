@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 200_000
 
 _own_dir: dict[str, str] = {}
+_roots: set[str] = set()
 
 
 def build_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,10 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder; what is written there is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    fs, p = _fs(spark, path)
-    fs.deleteOnExit(p)
-    return path
+    root = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        fs, p = _fs(spark, root)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)  # of what is there already
+        _roots.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def _fs(spark: SparkSession, path: str):
