@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+from millrace.functions.scalars import SUFFIX_LANGUAGE as LANGUAGE
 from millrace.llm.syntax import ecma, golang, python
 from millrace.llm.syntax.base import Problem, deep
 
-#: Language of each suffix (fixed values).
-LANGUAGE = {".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go"}
 
 
 def suffix_of(path: str) -> str:
