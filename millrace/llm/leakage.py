@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ MOST_ITEMS = 50_000
 INVISIBLE = "​‍﻿"
 
 
+#: Text that is cut and indexed at once.
+SLICE_BYTES = 16 << 20
 _WORD = re.compile(r"[^\W_]+")
 _HIDDEN = str.maketrans("", "", INVISIBLE)
 
@@ -37,25 +40,59 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower().translate(_HIDDEN))
 
 
+class Shard:
+    """The words of some texts as numbers, cut by the same rule as `words_of` for all of them at once."""
+
+    def __init__(self, texts: list[str]):
+        low = [t.lower() if t.isascii() else t.lower().translate(_HIDDEN) for t in texts]
+        parts = pc.split_pattern_regex(pa.array(low, pa.large_string()), r"[^\pL\pN]+")
+        flat, row = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
+        some = pc.not_equal(flat, "")
+        d = flat.filter(some).dictionary_encode()
+        self.code, self.words = d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
+        self.row = row[some.to_numpy(zero_copy_only=False)].astype(np.int64)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(self.row, minlength=len(texts)))])
+
+    def of(self, row: int) -> list[str]:
+        return [self.words[c] for c in self.code[self.start[row] : self.start[row + 1]].tolist()]
+
+    def places(self, terms: set[str] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word number, row, position) of the given terms, or all, in order of rows and positions."""
+        wanted = np.array([terms is None or w in terms for w in self.words], bool)
+        at = np.flatnonzero(wanted[self.code]) if len(self.words) else np.zeros(0, np.int64)
+        return self.code[at], self.row[at], at - self.start[self.row[at]]
+
+    def postings(self, terms: set[str] | None) -> dict[str, dict[int, list[int]]]:
+        """{term: {row: positions}}."""
+        code, row, position = self.places(terms)
+        order = np.lexsort((position, row, code))
+        code, row, position = code[order], row[order], position[order].tolist()
+        cuts = [0, *(np.flatnonzero((np.diff(code) != 0) | (np.diff(row) != 0)) + 1).tolist(), len(position)]
+        out: dict[str, dict[int, list[int]]] = {}
+        for i, j in zip(cuts, cuts[1:]):
+            if j > i:
+                out.setdefault(self.words[code[i]], {})[int(row[i])] = position[i:j]
+        return out
+
+
+def _shards(b: pa.RecordBatch):
+    """(documents, shard) of a batch, in shares of about `SLICE_BYTES` of text."""
+    size = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows]
+    for a, z in zip(cuts, cuts[1:]):
+        if z > a:
+            yield b.column("doc_id")[a:z].to_pylist(), Shard(b.column("text")[a:z].to_pylist())
+
+
 def postings(docs: DataFrame, terms: set[str] | None = None) -> DataFrame:
     """(term, doc_id, positions) for docs (doc_id, text), all terms or those given."""
 
     def build(batches):
         for b in batches:
-            t_out, d_out, p_out = [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                at: dict[str, list[int]] = {}
-                ws = words_of(text)
-                some = set(ws) if terms is None else terms.intersection(ws)
-                if not some:
-                    continue
-                for i, w in enumerate(ws):
-                    if w in some:
-                        at.setdefault(w, []).append(i)
-                t_out += at.keys()
-                p_out += at.values()
-                d_out += [doc] * len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(t_out, pa.string()), pa.array(d_out, pa.int64()), pa.array(p_out, pa.list_(pa.int32()))], names=["term", "doc_id", "positions"])
+            for ids, shard in _shards(b):
+                lists = [(t, ids[row], at) for t, rows in shard.postings(terms).items() for row, at in rows.items()]
+                cols = list(zip(*lists)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))], names=["term", "doc_id", "positions"])
 
     return docs.mapInArrow(build, "term string, doc_id bigint, positions array<int>")
 
@@ -66,26 +103,17 @@ def document_frequencies(docs: DataFrame, terms: set[str]) -> dict[str, int]:
     def count(batches):
         c: Counter = Counter()
         for b in batches:
-            for text in b.column("text").to_pylist():
-                c.update(terms.intersection(words_of(text)))
+            for _, shard in _shards(b):
+                code, row, _ = shard.places(terms)
+                once = pc.unique(pa.array(row * max(1, len(shard.words)) + code)).to_numpy() % max(1, len(shard.words))
+                n = np.bincount(once, minlength=len(shard.words))
+                c.update({shard.words[k]: int(n[k]) for k in np.flatnonzero(n)})
         yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.int64())], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = docs.select("doc_id", "text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     return {r.term: r.n for r in small_rows(rows, "the items' vocabulary", 5_000_000)}
 
 
-def shard_postings(words: list[list[str]], wanted: set[str]) -> dict[str, dict[int, list[int]]]:
-    """{term: {row: positions}} of one shard, for the terms that are looked up."""
-    out: dict[str, dict[int, list[int]]] = {}
-    for row, ws in enumerate(words):
-        some = wanted.intersection(ws)
-        if some:
-            for i, w in enumerate(ws):
-                if w in some:
-                    out.setdefault(w, {}).setdefault(row, []).append(i)
-    return out
-
-
 def _probes(items: dict[int, list[str]], df: dict[str, int], run: int) -> list[tuple]:
     out = set()
     for item, ws in items.items():
@@ -153,28 +181,22 @@ def _phrases(docs: DataFrame, items: DataFrame, run: int) -> DataFrame:
 
     def search(batches):
         for b in batches:
-            docs_, texts_ = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            words = [words_of(t) for t in texts_]
-            index = shard_postings(words, wanted)
-            rows = []
-            for t1, asks in by_first.items():
-                for at, first in index.get(t1, {}).items():
-                    seen = set()
-                    for item, o1, t2, o2 in asks:
-                        second = index.get(t2, {}).get(at)
-                        if second is None:
-                            continue
-                        for shift in [p - o1 for p in first]:
-                            if (item, shift) not in seen and shift + o2 in second:
-                                seen.add((item, shift))
-                    rows += [(item, at, shift) for item, shift in seen]
-            out = set()
-            for item, at, shift in set(rows):
-                for k, n in _runs(by_id[item], words[at], shift, run):
-                    out.add((item, docs_[at], k, k + shift, n))
-            cols = list(zip(*sorted(out))) or [()] * 5
-            types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["item_id", "doc_id", "item_word", "doc_word", "n_words"])
+            for ids, shard in _shards(b):
+                index = shard.postings(wanted)
+                rows = set()
+                for t1, asks in by_first.items():
+                    for at, first in index.get(t1, {}).items():
+                        second: dict[str, frozenset] = {}
+                        for item, o1, t2, o2 in asks:
+                            if t2 not in second:
+                                second[t2] = frozenset(index.get(t2, {}).get(at, ()))
+                            if second[t2]:
+                                rows.update((item, at, p - o1) for p in first if p - o1 + o2 in second[t2])
+                words = {at: shard.of(at) for at in {at for _, at, _ in rows}}
+                out = {(item, ids[at], k, k + shift, n) for item, at, shift in rows for k, n in _runs(by_id[item], words[at], shift, run)}
+                cols = list(zip(*sorted(out))) or [()] * 5
+                types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["item_id", "doc_id", "item_word", "doc_word", "n_words"])
 
     return texts.mapInArrow(search, empty.schema)
 

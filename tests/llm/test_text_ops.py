@@ -43,6 +43,21 @@ def test_leaks_against_brute_force(spark):
     assert near_terms(ddf, idf, least=2).count() >= 0 and near_terms(ddf.limit(0), idf).count() == 0
 
 
+def test_words_are_cut_alike():
+    from millrace.llm.leakage import Shard
+
+    rng = random.Random(9)
+    texts = ["", "İstanbul Straße_9 naïve²x\u200by", "a-b_c  D\n"] + ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x370, 0x530), rng.randrange(0x4E00, 0x4F00), 0x200B, 95])) for _ in range(80)) for _ in range(60)]
+    shard = Shard(texts)
+    assert [shard.of(i) for i in range(len(texts))] == [words_of(t) for t in texts]
+    want = {}
+    for row, t in enumerate(texts):
+        for at, w in enumerate(words_of(t)):
+            if w in ("b", "c", "straße"):
+                want.setdefault(w, {}).setdefault(row, []).append(at)
+    assert shard.postings({"b", "c", "straße", "nowhere"}) == want and want["b"][2] == [1] and Shard([]).postings(None) == {}
+
+
 # ---- secrets ----
 
 
