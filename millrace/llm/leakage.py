@@ -32,20 +32,26 @@ INVISIBLE = "​‍﻿"
 #: Text that is cut and indexed at once.
 SLICE_BYTES = 16 << 20
 _WORD = re.compile(r"[^\W_]+")
-_HIDDEN = str.maketrans("", "", INVISIBLE)
+
+
+def _lower(text: str) -> str:
+    low = text.lower()
+    if not low.isascii():
+        for c in INVISIBLE:
+            low = low.replace(c, "")
+    return low
 
 
 def words_of(text: str) -> list[str]:
     """The runs of letters and digits of the lower-cased text."""
-    return _WORD.findall(text.lower().translate(_HIDDEN))
+    return _WORD.findall(_lower(text))
 
 
 class Shard:
     """The words of some texts as numbers, cut by the same rule as `words_of` for all of them at once."""
 
     def __init__(self, texts: list[str]):
-        low = [t.lower() if t.isascii() else t.lower().translate(_HIDDEN) for t in texts]
-        parts = pc.split_pattern_regex(pa.array(low, pa.large_string()), r"[^\pL\pN]+")
+        parts = pc.split_pattern_regex(pa.array([_lower(t) for t in texts], pa.large_string()), r"[^\pL\pN]+")
         flat, row = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
         some = pc.not_equal(flat, "")
         d = flat.filter(some).dictionary_encode()
