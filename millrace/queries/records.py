@@ -134,7 +134,17 @@ _CHANGED = """span AS (SELECT started_at, coalesce(lead(started_at) OVER (ORDER
   changed AS (SELECT l.repo, l.path FROM listed l LEFT JOIN trusted t
     ON l.repo IS NOT DISTINCT FROM t.repo AND l.path IS NOT DISTINCT FROM t.path WHERE t.sha IS NULL OR l.sha IS DISTINCT FROM t.sha)"""
 
+_CUT = f"""{_LOOPS}, low AS (SELECT start, least(start, min(here)) AS m FROM hop WHERE start IN (SELECT id FROM ring) GROUP BY start),
+  cut AS (SELECT r.id, CASE WHEN r.p = w.m THEN NULL ELSE r.p END AS p FROM rest r LEFT JOIN low w ON w.start = r.id),
+  tree AS (SELECT id, id AS top, 0 AS depth, CAST(id AS VARCHAR) AS full_path, [id] AS path FROM cut WHERE p IS NULL
+    UNION ALL SELECT c.id, t.top, t.depth + 1, t.full_path || '/' || CAST(c.id AS VARCHAR), list_append(t.path, c.id) FROM cut c JOIN tree t ON c.p = t.id)"""
+
 SQL = {
+    "p1_loop_paths": f"""{_CUT}, below AS (SELECT id, count(*) - 1 AS n FROM (SELECT unnest(path) AS id FROM tree) GROUP BY id)
+      SELECT t.id AS community_id, CAST(NULL AS BIGINT) AS root_id, depth, full_path, n AS n_descendants, CASE WHEN t.id IN (SELECT id FROM ring) THEN 'cycle' ELSE 'under_cycle' END AS outcome, m AS cycle_id
+      FROM tree t JOIN below b ON b.id = t.id JOIN low ON low.start = t.top""",
+    "p1_loop_descendants": f"""{_CUT} SELECT path[k] AS ancestor_id, id AS descendant_id, CAST(depth + 1 - k AS INTEGER) AS distance
+      FROM (SELECT id, path, depth, unnest(range(1, depth + 1)) AS k FROM tree)""",
     "p1_found": f"""{_LOOPS} SELECT id AS community_id, outcome FROM down WHERE outcome <> 'root' UNION ALL
       SELECT id, CASE WHEN id IN (SELECT id FROM ring) THEN 'cycle' ELSE 'under_cycle' END FROM rest""",
     "p1_paths": f"""{_DOWN}, below AS (SELECT id, count(*) - 1 AS n FROM (SELECT unnest(path) AS id FROM down) GROUP BY id)
