@@ -1,10 +1,12 @@
 """Subject areas of documents.
 
-1. A bounded sample (`Params.sample` documents by hash of their id, and at most `Params.labelled` labelled ones) fits the leaves:
-   normalised tf-idf vectors are clustered by bisecting k-means, cosine distance.
-2. Every leaf is labelled by its discriminative terms, those more frequent in it than in its language: the subjects of the
-   labelled documents that have these terms give the mixture of the leaf. No label reaches a document in another way.
-3. Every document is cut into sentences and terms once, and takes the mixture of its nearest leaves.
+1. Every document is cut into sentences and terms once. All of them fit the leaves: normalised tf-idf vectors are clustered by
+   bisecting k-means, cosine distance. A round is one pass over the vectors, in which each document walks down the tree and
+   each task sums the vectors of the clusters that are being cut.
+2. Every leaf is labelled by its discriminative terms, those more frequent in it than in its language, counted over all
+   documents: the subjects of all labelled documents that have these terms give the mixture of the leaf. No label reaches a
+   document in another way.
+3. Every document takes the mixture of its nearest leaves.
 4. A term belongs to the subjects of the mixtures it occurs under, counted over all documents: its weights are how much more
    often it occurs under one subject than under the others. A sentence goes to the subject of its terms, with the mixture of
    the document's leaves as prior. Weights are counted again from the sentences so assigned.
@@ -25,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import IDF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,10 +45,11 @@ FUNCTION_WORDS = {
 
 @dataclass(frozen=True)
 class Params:
-    sample: int = 8_000  #: documents that fit the leaves
-    labelled: int = 8_000  #: labelled documents that give terms their subjects
+    sample: int | None = None  #: about how many documents fit the leaves, by hash; None: all
+    labelled: int | None = None  #: about how many labelled documents give terms their subjects, by hash; None: all
     leaves: int = 32  #: of each language
     rounds: int = 3  #: of k-means in each cut
+    least: int = 8  #: documents from which a cluster is cut
     features: int = 1024  #: hashed terms of the vectors that are clustered
     near: int = 3  #: leaves a document is spread over
     leaf_terms: int = 50  #: discriminative terms a leaf is labelled by
@@ -172,7 +174,7 @@ def _openings_of(sents: pa.Array) -> tuple[np.ndarray, list[str]]:
     return np.where(there, np.append(code, 0)[np.where(there, at, len(code))], -1), words
 
 
-_PARSED = "doc_id bigint, lang string, lens array<int>, ids array<bigint>, opens array<bigint>"
+_PACKED = "packed binary"
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -209,37 +211,88 @@ def _parse_texts(ids: list[int], texts: list[str]) -> pa.RecordBatch:
     )
 
 
+def _packed(b: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch as one value, with lists of numbers coded by a dictionary: passes read it without handling each element."""
+    columns = []
+    for c in b.columns:
+        if pa.types.is_list(c.type) and pa.types.is_int64(c.type.value_type):
+            c = pa.ListArray.from_arrays(c.offsets, c.values.dictionary_encode())
+        columns.append(c)
+    b = pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(b)
+    return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["packed"])
+
+
+def _unpacked(batches):
+    """The batches packed in batches of `_PACKED`, one at a time."""
+    for b in batches:
+        for v in b.column("packed"):
+            yield pa.ipc.open_stream(v.as_buffer()).read_next_batch()
+
+
 def _parse(batches):
-    """Per document: its language, the number of distinct terms of each sentence, the terms of all sentences, three opening words a sentence."""
+    """Per document: its language, the number of distinct terms of each sentence, the terms of all sentences, three opening words
+    a sentence, and q as given; in packed batches."""
     for b in batches:
         texts = b.column("text")
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // SLICE_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows]
         for a, z in zip(cuts, cuts[1:]):
             if z > a:
-                yield _parse_texts(b.column("doc_id")[a:z].to_pylist(), texts[a:z].to_pylist())
+                parsed = _parse_texts(b.column("doc_id")[a:z].to_pylist(), texts[a:z].to_pylist())
+                yield _packed(parsed.append_column("q", b.column("q")[a:z]))
 
 
 class _Batch:
     """A batch of parsed documents as flat arrays."""
 
     def __init__(self, b: pa.RecordBatch):
-        flat = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        def flat(name: str) -> np.ndarray:
+            v = b.column(name).flatten()
+            v = v.dictionary_decode() if pa.types.is_dictionary(v.type) else v
+            return v.to_numpy(zero_copy_only=False).astype(np.int64)
+
         self.docs = b.column("doc_id").to_numpy(zero_copy_only=False)
         self.langs = np.array(b.column("lang").to_pylist(), object)
-        self.lens, self.ids = flat("lens"), flat("ids")
-        d = pa.array(self.ids).dictionary_encode()
+        self.lang_no = np.array([_LANGS.index(g) for g in self.langs], np.int64)
+        self.lens = flat("lens")
+        d = b.column("ids").flatten()
+        d = d if pa.types.is_dictionary(d.type) else d.dictionary_encode()
         self.code, self.terms = d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.ids = self.terms[self.code]
         self.n_sent = b.column("lens").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         self.opens = flat("opens").reshape(-1, 3) if "opens" in b.schema.names else None
-        # the mixture of the document's leaves, in which the last place is the share of no subject
-        self.mix = b.column("mix").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if "mix" in b.schema.names else None
+        self.mix: np.ndarray | None = None  # the mixture of the document's leaves, in which the last place is the share of no subject
         self.doc_of_sent = np.repeat(np.arange(len(self.docs)), self.n_sent)
         self.sent_of_term = np.repeat(np.arange(len(self.lens)), self.lens)
         self.doc_of_term = self.doc_of_sent[self.sent_of_term]
         # what a sentence counts for in the corpus: those of a very long document no more than `LONG` together
         self.counts_for = np.minimum(1, LONG / np.maximum(self.n_sent, 1))[self.doc_of_sent]
 
+    def lang_of_terms(self) -> np.ndarray:
+        """The number of each term's language; a term has one."""
+        out = np.zeros(len(self.terms), np.int64)
+        out[self.code] = self.lang_no[self.doc_of_term]
+        return out
+
+    def once(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (document, place of a term)."""
+        pairs, _ = _runs(self.doc_of_term * len(self.terms) + self.code)
+        return pairs // max(1, len(self.terms)), pairs % max(1, len(self.terms))
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each is there."""
+    v = np.sort(values)
+    at = np.flatnonzero(np.append(True, v[1:] != v[:-1])[: len(v)])
+    return v[at], np.diff(np.append(at, len(v)))
+
+
+def _lang_names(numbers: np.ndarray) -> pa.Array:
+    return pa.array(_LANGS, pa.string()).take(pa.array(numbers, pa.int64()))
+
 
 @dataclass(frozen=True)
 class Leaves:
@@ -284,34 +337,172 @@ def _find(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == ids, at, -1)
 
 
-def fit_leaves(sample: DataFrame, p: Params) -> Leaves:
-    """Leaves by bisecting k-means over a sample of parsed documents, for each language."""
-    term = sample.select("lang", F.explode(F.array_distinct("ids")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
-    docs = sample.groupBy("lang").agg(F.count("*").alias("docs"))
-    # no more of them than twice the distinct terms of a mean document
-    stops = np.array(sorted(r.term for r in term.join(F.broadcast(docs), "lang").where("n > greatest(4, 0.6 * docs)").select("term").collect()), np.int64)
-    bare = Leaves(stops, {}, {}, {}, 0, p.near)
+def _stops(docs: DataFrame) -> np.ndarray:
+    """Sorted terms of more than six tenths of the documents of their language: no more than twice the distinct terms of a mean document."""
 
     def count(batches):
-        for b in batches:
+        for b in _unpacked(batches):
             x = _Batch(b)
-            for a in range(0, len(x.docs), 512):
-                f = bare.features(x, np.arange(a, min(a + 512, len(x.docs))), p.features)
-                yield pa.RecordBatch.from_arrays([pa.array(x.langs[a : a + 512].tolist(), pa.string()), _lists(f.ravel(), np.full(len(f), p.features), pa.float32())], names=["lang", "tf"])
+            lang, n = _runs(x.lang_no)
+            yield pa.RecordBatch.from_arrays([_lang_names(lang), pa.array(np.full(len(lang), -1), pa.int64()), pa.array(n, pa.int64())], names=["lang", "term", "n"])
+            n = np.bincount(x.once()[1], minlength=len(x.terms))
+            yield pa.RecordBatch.from_arrays([_lang_names(x.lang_of_terms()), pa.array(x.terms, pa.int64()), pa.array(n, pa.int64())], names=["lang", "term", "n"])
+
+    n = docs.mapInArrow(count, "lang string, term bigint, n bigint").groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    n = written(n, "document_counts")
+    total = n.where("term = -1").select("lang", F.col("n").alias("docs"))
+    return np.array(sorted(r.term for r in n.where("term <> -1").join(F.broadcast(total), "lang").where("n > greatest(4, 0.6 * docs)").select("term").collect()), np.int64)
+
+
+_SUMS = "key int, n bigint, v array<double>"
+
+
+def _sums(keys: np.ndarray, n: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Rows of `_SUMS` for the keys that have any documents."""
+    some = n > 0
+    return pa.RecordBatch.from_arrays([pa.array(keys[some], pa.int32()), pa.array(n[some], pa.int64()), _lists(v[some].ravel(), np.full(int(some.sum()), v.shape[1]), pa.float64())], names=["key", "n", "v"])
+
+
+def _add(parts: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """Documents and the sum of vectors of each key; there are no more keys than leaves."""
+    total = parts.groupBy("key").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+    return {r.key: (r.n, np.array(r.v)) for r in total.collect()}
+
+
+_VECTORS = "lang int, lens binary, f binary, n binary"
 
-    tf = written(sample.mapInArrow(count, "lang string, tf array<float>").where(F.exists("tf", lambda v: v > 0)), "tf")
+
+def _vectors(batches):
+    """Language, entries of each document (none is 0), their features and counts, of term counts in batches of `_VECTORS`."""
+    for b in batches:
+        for g, *parts in zip(b.column("lang").to_pylist(), *(b.column(c) for c in ("lens", "f", "n"))):
+            lens, f, n = (np.frombuffer(v.as_buffer(), np.int32) for v in parts)
+            yield g, lens.astype(np.int64), f, n
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(v, axis=-1, keepdims=True)
+    return v / np.where(length > 0, length, 1)
+
+
+@dataclass(frozen=True)
+class _Tree:
+    """Clusters as far as they are cut: node g is all of language g, the two parts of a node have consecutive numbers."""
+
+    centres: list[np.ndarray | None]
+    parts: dict[int, int]  # the first part of each node that is cut
+
+    def add(self, tf: DataFrame, weights: np.ndarray, nodes: list[int], lang_of: dict[int, int]) -> dict[int, tuple[int, np.ndarray]]:
+        """Documents and the sum of the normalised vectors of some uncut nodes, over all of tf. weights: languages x features."""
+        width, place = weights.shape[1], np.full(len(self.centres), -1)
+        langs = np.array([lang_of[k] for k in nodes], np.int64)
+        cut, part = np.full(len(self.centres), -1), np.zeros(len(self.centres), np.int64)
+        toward, first_of = {}, {}
+        for g in set(langs.tolist()):
+            own = np.flatnonzero(langs == g)
+            place[np.array(nodes)[own]], first_of[g] = np.arange(len(own)), own
+            cuts = [k for k in self.parts if lang_of[k] == g]
+            # from the first part's centre to the other's; takes counts, as lengths change no sign
+            steps = [_unit(self.centres[self.parts[k] + 1] - self.centres[self.parts[k]]) * weights[g] for k in cuts]
+            toward[g] = np.array(steps, np.float32).reshape(-1, width).T
+            cut[cuts], part[cuts] = np.arange(len(cuts)), [self.parts[k] for k in cuts]
+
+        def run(batches):
+            n, total = np.zeros(len(nodes), np.int64), np.zeros((len(nodes), width))
+            for g, lens, f, count in _vectors(batches):
+                if g not in toward:
+                    continue
+                start, own = np.cumsum(lens) - lens, first_of[g]
+                square = np.add.reduceat((weights[g][f] * count) ** 2, start)
+                row = np.repeat(np.arange(len(lens)), lens)
+                for a in range(0, len(lens), 512):
+                    m, lo, hi = min(512, len(lens) - a), start[a], (start[a + 512] if a + 512 < len(lens) else len(f))
+                    v = np.zeros((m, width), np.float32)
+                    v[row[lo:hi] - a, f[lo:hi]] = count[lo:hi]
+                    node, right = np.full(m, g), v @ toward[g] > 0
+                    while ((at := cut[node]) >= 0).any():
+                        node = np.where(at >= 0, part[node] + right[np.arange(m), at], node)
+                    some = np.flatnonzero((place[node] >= 0) & (square[a : a + m] > 0))
+                    to = place[node[some]]
+                    share = np.zeros((m, len(own)), np.float32)
+                    share[some, to] = 1 / np.sqrt(square[a : a + m][some])
+                    n[own] += np.bincount(to, minlength=len(own))
+                    total[own] += share.T @ v
+            yield _sums(np.array(nodes), n, total * weights[langs])
+
+        return _add(tf.mapInArrow(run, _SUMS))
+
+
+def fit_leaves(docs: DataFrame, p: Params) -> Leaves:
+    """Leaves by bisecting k-means over all of some parsed documents, for each language."""
+    stops = _stops(docs)
+    width = p.features
+
+    def count(batches):
+        for b in _unpacked(batches):
+            x = _Batch(b)
+            at = np.where(_find(stops, x.terms) >= 0, -1, x.terms % width)[x.code]
+            own, n = _runs((x.doc_of_term * width + at)[at >= 0])
+            doc, f = own // width, own % width
+            lens = np.bincount(doc, minlength=len(x.docs))
+            rows = []
+            for g in np.unique(x.lang_no[lens > 0]).tolist():
+                mine = x.lang_no[doc] == g
+                rows.append((g, *(v.astype(np.int32).tobytes() for v in (lens[(lens > 0) & (x.lang_no == g)], f[mine], n[mine]))))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["lang", "lens", "f", "n"])
+
+    tf = written(docs.mapInArrow(count, _VECTORS), "tf")
+
+    def frequency(batches):
+        n, df = np.zeros(len(_LANGS), np.int64), np.zeros((len(_LANGS), width))
+        for g, lens, f, _ in _vectors(batches):
+            n[g] += len(lens)
+            df[g] += np.bincount(f, minlength=width)
+        yield _sums(np.arange(len(_LANGS)), n, df)
+
+    known = _add(tf.mapInArrow(frequency, _SUMS))
+    weights = np.zeros((len(_LANGS), width), np.float32)
+    for g, (n, df) in known.items():
+        weights[g] = np.where(df >= min(3, n), np.log((n + 1) / (df + 1)), 0)
+    tree = _Tree([None] * len(_LANGS), {})
+    lang_of = {g: g for g in range(len(_LANGS))}
+    # documents and vectors of the nodes that may still be cut
+    open_nodes = {g: (g, n, v) for g, (n, v) in tree.add(tf, weights, sorted(known), lang_of).items() if n > 1} if known else {}
+    langs = sorted(open_nodes)
+    for g, _, v in open_nodes.values():
+        tree.centres[g] = _unit(v)
+    wanted = {g: max(2, min(p.leaves, known[g][0] // 8)) - 1 for g in langs}
+    while open_nodes:
+        fresh = {}
+        for g in langs:
+            # those whose vectors are not all alike, the largest first
+            able = sorted((-n, node) for node, (h, n, v) in open_nodes.items() if h == g and n >= p.least and n - np.linalg.norm(v) > 1e-6 * n)
+            for _, node in able[: wanted[g]]:
+                noise = 1e-4 * np.random.default_rng([p.seed, node]).random(width)
+                fresh[node] = tree.parts[node] = len(tree.centres)
+                tree.centres.extend([_unit(tree.centres[node] - noise), _unit(tree.centres[node] + noise)])
+                lang_of[fresh[node]] = lang_of[fresh[node] + 1] = g
+        got: dict[int, tuple[int, np.ndarray]] = {}
+        for _ in range(p.rounds):
+            if not fresh:
+                break
+            got = tree.add(tf, weights, [k for first in fresh.values() for k in (first, first + 1)], lang_of)
+            for node, first in list(fresh.items()):
+                if first in got and first + 1 in got:
+                    tree.centres[first], tree.centres[first + 1] = _unit(got[first][1]), _unit(got[first + 1][1])
+                else:  # stays whole
+                    del fresh[node], tree.parts[node]
+        open_nodes = {k: (lang_of[k], *got[k]) for first in fresh.values() for k in (first, first + 1)}
+        for node in fresh:
+            wanted[lang_of[node]] -= 1
+    # parts of nodes that stayed whole have no place in the tree
+    placed = {*langs, *(k for first in tree.parts.values() for k in (first, first + 1))} - set(tree.parts)
     idf, centres, first = {}, {}, {}
-    for g, n in sorted((r.lang, r["count"]) for r in tf.groupBy("lang").count().collect()):
-        # a sample of this size is a few tasks' work, and each round waits for the slowest
-        own = tf.where(F.col("lang") == g).select(array_to_vector("tf").alias("tf")).coalesce(2)
-        model = IDF(inputCol="tf", outputCol="idf", minDocFreq=min(3, n)).fit(own)
-        unit = Normalizer(inputCol="idf", outputCol="features").transform(model.transform(own)).select("features")
-        unit = unit.where(F.exists(vector_to_array("features"), lambda v: v != 0))
-        if unit.limit(2).count() == 2:
-            kmeans = BisectingKMeans(k=max(2, min(p.leaves, n // 8)), maxIter=p.rounds, seed=p.seed, distanceMeasure="cosine", minDivisibleClusterSize=8)
-            c = np.array(kmeans.fit(unit).clusterCenters())
-            length = np.linalg.norm(c, axis=1, keepdims=True)
-            idf[g], centres[g], first[g] = model.idf.toArray().astype(np.float32), (c / np.where(length > 0, length, 1)).astype(np.float32), sum(map(len, centres.values()))
+    for g in sorted(langs, key=lambda k: _LANGS[k]):
+        name = _LANGS[g]
+        idf[name], first[name] = weights[g], sum(map(len, centres.values()))
+        centres[name] = np.stack([tree.centres[k] for k in sorted(placed) if lang_of[k] == g]).astype(np.float32)
     return Leaves(stops, idf, centres, first, sum(map(len, centres.values())), p.near)
 
 
@@ -352,33 +543,56 @@ class Mixtures:
         return mix
 
 
-def leaf_mixtures(sample: DataFrame, leaves: Leaves, n_subjects: int, p: Params, least: int = 3, lift: float = 1.5) -> Mixtures:
-    """The mixture of each leaf from the subjects of its discriminative terms: those that at least `least` of the sampled
-    documents nearest to it have, `lift` times as often as all of its language, the best `leaf_terms` of them by documents times
-    log lift. sample has `_PARSED`, sampled (boolean) and q, the share of each subject in the labels of a document, null without
-    labels. A term that no labelled document has, or whose documents agree on nothing, has no say; a leaf none of whose terms
-    has one treats none of the subjects."""
+def leaf_mixtures(docs: DataFrame, labelled: DataFrame, leaves: Leaves, n_subjects: int, p: Params, least: int = 3, lift: float = 1.5) -> Mixtures:
+    """The mixture of each leaf from the subjects of its discriminative terms: those that at least `least` of the documents
+    nearest to it have, `lift` times as often as all of its language, the best `leaf_terms` of them by documents times log lift.
+    Both tables are packed; in labelled, q is the share of each subject in the labels of a document, null without. A term that no
+    labelled document has, or whose documents agree on nothing, has no say; a leaf none of whose terms has one treats none of
+    the subjects."""
 
     def place(batches):
-        for b in batches:
+        """Documents of each leaf that have a term, by language; the documents themselves count as term -1."""
+        for b in _unpacked(batches):
             x = _Batch(b)
             leaf, share = leaves.spread(x)
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(np.where(share[:, 0] > 0, leaf[:, 0], -1), pa.int32()), b.column("ids")], names=["lang", "leaf", "ids"])
-
-    placed = sample.where("sampled").mapInArrow(place, "lang string, leaf int, ids array<bigint>")
-    # the documents themselves count as term -1
-    each = placed.select("lang", "leaf", F.explode(F.array_append(F.array_distinct("ids"), F.lit(-1).cast("bigint"))).alias("term"))
-    n = written(each.groupBy("lang", "leaf", "term").agg(F.count("*").alias("n")), "leaf_terms")
-    docs = n.where("term = -1").select("lang", "leaf", F.col("n").alias("docs"))
-    total = docs.groupBy("lang").agg(F.sum("docs").alias("all_docs"))
+            leaf = np.where(share[:, 0] > 0, leaf[:, 0], -1) + 1
+            k, n = _runs(x.lang_no * (leaves.n + 1) + leaf)
+            yield _placed(k // (leaves.n + 1), k % (leaves.n + 1), np.full(len(k), -1), n)
+            doc, code = x.once()
+            k, n = _runs(leaf[doc] * len(x.terms) + code)
+            code = k % max(1, len(x.terms))
+            yield _placed(x.lang_of_terms()[code], k // max(1, len(x.terms)), x.terms[code], n)
+
+    def _placed(lang, leaf, term, n):
+        return pa.RecordBatch.from_arrays([_lang_names(lang), pa.array(leaf - 1, pa.int32()), pa.array(term, pa.int64()), pa.array(n, pa.int64())], names=["lang", "leaf", "term", "n"])
+
+    each = docs.mapInArrow(place, "lang string, leaf int, term bigint, n bigint")
+    n = written(each.groupBy("lang", "leaf", "term").agg(F.sum("n").alias("n")), "leaf_terms")
+    of_leaf = n.where("term = -1").select("lang", "leaf", F.col("n").alias("docs"))
+    total = of_leaf.groupBy("lang").agg(F.sum("docs").alias("all_docs"))
     everywhere = n.groupBy("lang", "term").agg(F.sum("n").alias("all_n"))
-    rated = n.where(f"term <> -1 and leaf <> -1 and n >= {least}").join(F.broadcast(docs), ["lang", "leaf"]).join(F.broadcast(total), "lang").join(everywhere, ["lang", "term"])
+    rated = n.where(f"term <> -1 and leaf <> -1 and n >= {least}").join(F.broadcast(of_leaf), ["lang", "leaf"]).join(F.broadcast(total), "lang").join(everywhere, ["lang", "term"])
     rated = rated.withColumn("lift", F.col("n") * F.col("all_docs") / (F.col("docs") * F.col("all_n"))).where(F.col("lift") >= lift)
     order = Window.partitionBy("leaf").orderBy((F.col("n") * F.log("lift")).desc(), "term")
     best = rated.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.leaf_terms)
-    sums = [F.sum(F.col("q")[k]).alias(f"q{k}") for k in range(n_subjects + 1)]
-    labelled = sample.where("q is not null").select("lang", "q", F.explode(F.array_append(F.array_distinct("ids"), F.lit(-1).cast("bigint"))).alias("term")).groupBy("lang", "term").agg(*sums)
-    labelled = written(labelled, "labelled_terms")
+
+    def tell(batches):
+        """How much of each subject the labelled documents that have a term have; term -1 is every document."""
+        for b in _unpacked(batches):
+            b = b.filter(b.column("q").is_valid())
+            if not b.num_rows:
+                continue
+            x = _Batch(b)
+            q = b.column("q").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            doc, code = x.once()
+            told = np.stack([np.bincount(code, q[doc, k], minlength=len(x.terms)) for k in range(n_subjects + 1)], 1)
+            has = told.any(1)  # the terms are those of all documents of the batch
+            yield _count(_lang_names(x.lang_of_terms()[has]), x.terms[has][:, None], told[has])
+            for g in np.unique(x.lang_no):
+                yield _count(_lang_names(np.array([g])), np.array([[-1]]), q[x.lang_no == g].sum(0, keepdims=True))
+
+    told = _sum_counts(labelled.mapInArrow(tell, _COUNTS), n_subjects + 1)
+    labelled = written(told.select("lang", "term", *[F.col("n")[k].alias(f"q{k}") for k in range(n_subjects + 1)]), "labelled_terms")
     totals = {r[0]: np.array(r[2:]) for r in labelled.where("term = -1").collect()}
     rows = best.join(labelled, ["lang", "term"], "left").select("lang", "leaf", "term", "n", "lift", *[f"q{k}" for k in range(n_subjects + 1)]).collect()
     mix = np.zeros((leaves.n, n_subjects + 1))
@@ -423,20 +637,18 @@ def _openings(x: _Batch, lex: Lexicon) -> np.ndarray:
 _COUNTS = "lang string, term bigint, b bigint, c bigint, n array<double>"
 
 
-def _count(lang: np.ndarray, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _count(lang: pa.Array, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Rows of `_COUNTS`; keys are one term a row, or the three words of an opening."""
     more = [pa.array(keys[:, k], pa.int64()) if keys.shape[1] > 1 else pa.nulls(len(keys), pa.int64()) for k in (1, 2)]
-    return pa.RecordBatch.from_arrays([pa.array(lang.tolist(), pa.string()), pa.array(keys[:, 0], pa.int64()), *more, _lists(n.ravel(), np.full(len(n), n.shape[1]), pa.float64())], names=["lang", "term", "b", "c", "n"])
+    return pa.RecordBatch.from_arrays([lang, pa.array(keys[:, 0], pa.int64()), *more, _lists(n.ravel(), np.full(len(n), n.shape[1]), pa.float64())], names=["lang", "term", "b", "c", "n"])
 
 
 def _term_counts(x: _Batch, weight: np.ndarray):
     """How much of each column of weight (sentences x columns) each term stands under, by language; term -1 is every sentence."""
     n = np.stack([np.bincount(x.code, weight[x.sent_of_term, k], minlength=len(x.terms)) for k in range(weight.shape[1])], 1)
-    lang = np.full(len(x.terms), "", object)
-    lang[x.code] = x.langs[x.doc_of_term]  # a term has one language
-    yield _count(lang, x.terms[:, None], n)
-    for g in np.unique(x.langs):
-        yield _count(np.array([g], object), np.array([[-1]]), weight[(x.langs == g)[x.doc_of_sent]].sum(0, keepdims=True))
+    yield _count(_lang_names(x.lang_of_terms()), x.terms[:, None], n)
+    for g in np.unique(x.lang_no):
+        yield _count(_lang_names(np.array([g])), np.array([[-1]]), weight[(x.lang_no == g)[x.doc_of_sent]].sum(0, keepdims=True))
 
 
 def _lexicon(counts: DataFrame, s: int, p: Params, judged: bool = False) -> Lexicon:
@@ -478,36 +690,36 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, defa
     texts = docs.where("text is not null").where(F.col("text").rlike(r"\S")).select("doc_id", "text")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("subject").isin([*names, default])).select("doc_id", "subject").distinct()
     known = known.groupBy("doc_id").agg(F.array(*[F.max((F.col("subject") == n).cast("double")) for n in [*names, default]]).alias("q"))
-    every = max(1, -(-known.count() // p.labelled))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(every)) == 0)  # about `labelled` of them at most
+    if p.labelled is not None:
+        every = max(1, -(-known.count() // p.labelled))
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(every)) == 0)
     known = written(known.withColumn("q", F.transform("q", lambda v: v / F.aggregate("q", F.lit(0.0), lambda a, b: a + b))), "labels")
-    step = max(1, -(-docs.count() // p.sample))
-    sampled = F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0
-    picked = texts.join(F.broadcast(known), "doc_id", "left").withColumn("sampled", sampled).where("sampled or q is not null")
-    parsed = picked.select("doc_id", "text").mapInArrow(_parse, _PARSED).drop("opens")
-    sample = written(parsed.join(F.broadcast(known), "doc_id", "left").withColumn("sampled", sampled), "sample")
-    leaves = fit_leaves(sample.where("sampled"), p)
-    mix = leaf_mixtures(sample, leaves, s, p)
-
-    def read(batches):
-        for b in _parse(batches):
-            x = _Batch(b)
-            m = mix.of_documents(x, *leaves.spread(x))
-            yield pa.RecordBatch.from_arrays([*b.columns, _lists(m.ravel(), np.full(len(m), s + 1), pa.float32())], names=[*b.schema.names, "mix"])
-
-    parsed = written(texts.mapInArrow(read, _PARSED + ", mix array<float>"), "parsed")
+    texts = texts.join(known, "doc_id", "left").select("doc_id", "text", "q")
+    parsed = written(texts.mapInArrow(_parse, _PACKED), "parsed")
+    fitting = parsed
+    if p.sample is not None:
+        step = max(1, -(-docs.count() // p.sample))
+        fitting = written(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).mapInArrow(_parse, _PACKED), "sample")
+    leaves = fit_leaves(fitting, p)
+    mix = leaf_mixtures(fitting, parsed, leaves, s, p)
+
+    def mixed(b: pa.RecordBatch) -> _Batch:
+        """A batch with the mixtures of its documents: cheaper to take again in each pass than to write with all terms."""
+        x = _Batch(b)
+        x.mix = mix.of_documents(x, *leaves.spread(x)).astype(np.float32)
+        return x
 
     def first(batches):
-        for b in batches:
-            x = _Batch(b)
+        for b in _unpacked(batches):
+            x = mixed(b)
             yield from _term_counts(x, x.mix[x.doc_of_sent] * x.counts_for[:, None])
 
     lex0 = _lexicon(written(_sum_counts(parsed.mapInArrow(first, _COUNTS), s + 1), "counts"), s, p)
 
     def again(batches):
         """Terms under the subjects of sentences, and openings with how many of their sentences have a subject that the rest of the document shares."""
-        for b in batches:
-            x = _Batch(b)
+        for b in _unpacked(batches):
+            x = mixed(b)
             found = classify(x, lex0, p)
             yield from _term_counts(x, np.eye(s + 1)[found] * x.counts_for[:, None])
             c = _shares(x, found, s)
@@ -516,7 +728,7 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, defa
             shared = c[d, found[ok]] - 1 >= np.maximum(1, 0.15 * (x.n_sent[d] - 1))
             keys, inv = np.unique(_openings(x, lex0)[ok], axis=0, return_inverse=True) if ok.any() else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
             n = np.stack([np.bincount(inv.ravel(), minlength=len(keys)), np.bincount(inv.ravel(), shared, minlength=len(keys))], 1).astype(float)
-            yield _count(np.full(len(keys), "", object), keys, n)
+            yield _count(pa.array([""] * len(keys), pa.string()), keys, n)
 
     counts = written(_sum_counts(parsed.mapInArrow(again, _COUNTS), s + 1), "counts")
     lex = _lexicon(counts, s, p, judged=True)
@@ -526,8 +738,8 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, defa
     known_openings = set(map(tuple, table.tolist()))
 
     def final(batches):
-        for b in batches:
-            x = _Batch(b)
+        for b in _unpacked(batches):
+            x = mixed(b)
             found = classify(x, lex, p)
             if known_openings:
                 hit = np.flatnonzero(found < s)

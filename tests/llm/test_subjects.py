@@ -81,6 +81,24 @@ def test_many_labels(spark, corpus):
     assert right(got, truth) >= 0.9
 
 
+def test_all_documents_and_labels_count(spark):
+    """A subject that only some documents have, none of them in a sample of 8,000 by hash: every document and label takes part."""
+    rng = random.Random(7)
+    # what a sample of about 8,000 of these documents, and of as many labels, would leave out
+    ids = spark.range(9_000).selectExpr("id", "pmod(xxhash64(id), 2) <> 0 AND pmod(xxhash64(id, 11), 2) <> 0 AS out").collect()
+    docs, labels, truth = [], [], {}
+    for i, out in ids:
+        s = "music" if out else "law" if i % 2 else None
+        w = [rng.sample(TERMS[s], 2) if s else ["queue", "cache"] for _ in range(4)]
+        docs.append((i, " ".join(f"The {a} table keeps a {rng.choice(['red', 'blue', 'late'])} link to each {b}." for a, b in w)))
+        truth[i] = {s or "software"}
+        labels.append((i, s or "software", 1))
+    areas = spark.createDataFrame([("law", ""), ("music", ""), ("software", "")], "subject string, description string")
+    got = found(document_subjects(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, subject string, annotator_id int"), areas))
+    music = [i for i in truth if truth[i] == {"music"}]
+    assert len(music) > 2_000 and sum(got[i] == {"music"} for i in music) / len(music) >= 0.9
+
+
 def test_weights_and_mixtures():
     number = lambda w: S._digest(w) ^ int(S._SALT[1])
     w = S.weigh(np.array([[9.0, 0, 0], [3, 3, 3], [0, 0, 9], [5, 0, 50]]), np.array([[10.0, 10, 10]] * 4))
