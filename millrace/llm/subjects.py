@@ -21,6 +21,7 @@ sentence, whatever the corpus.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,9 +65,8 @@ _LANGS = [*sorted(FUNCTION_WORDS), ""]
 _FENCE = re.compile(r"(?ms)^\s*(```|~~~).*?(?:^\s*\1\s*$|\Z)")
 #: What stands before each line of a quotation or comment.
 _MARK = re.compile(r"(?:(?:>|\||//|\*(?=\s))\s*)+(?=\S)")
-_HEAD = re.compile(r"#|=+\s.*\s=+$")
-_RULE = re.compile(r"(?:=+|-{2,}|~{3,}|_{3,})$")
-_ITEM = re.compile(r"(?:[-+]|\d+[.)])\s")
+_KIND = re.compile(r"(?P<rule>(?:=+|-{2,}|~{3,}|_{3,})$)|(?P<head>#|=+\s.*\s=+$)|(?P<item>(?:[-+]|\d+[.)])\s)")
+_ENDS = (".", "?", "!", "…")
 #: Words of a line of its own without closing punctuation, up to which it is a heading.
 HEADING_WORDS = 6
 #: Sentences from which on those of a document count for less each, so that no text outweighs a subject.
@@ -76,11 +76,13 @@ SLICE_BYTES = 4 << 20
 
 
 def _closed(line: str) -> bool:
-    return line.rstrip("\"')]").endswith((".", "?", "!", "…"))
+    return line.endswith(_ENDS) or line.rstrip("\"')]").endswith(_ENDS)
 
 
 def _without_headings(run: list[str]) -> list[str]:
     """The lines of a paragraph without short ones that neither go on from the line before nor into the next."""
+    if len(run) == 1:
+        return run if _closed(run[0]) or len(run[0].split()) > HEADING_WORDS else []
     out: list[str] = []
     for i, line in enumerate(run):
         if not _closed(line) and (not out or _closed(out[-1])) and len(line.split()) <= HEADING_WORDS:
@@ -106,7 +108,7 @@ def paragraphs(text: str) -> list[str]:
         if line and not line[0].isalpha():
             if line[0] in ">|/*" and (m := _MARK.match(line)):
                 mark, line = m[0].strip(), line[m.end() :]
-            kind = "rule" if _RULE.match(line) else "head" if _HEAD.match(line) else "item" if _ITEM.match(line) else ""
+            kind = m.lastgroup if (m := _KIND.match(line)) else ""
         if not line or kind or mark != before:
             if kind == "rule" and len(run) == 1:  # underlined
                 run = []
@@ -126,8 +128,8 @@ def _cut(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         ps = paragraphs(t)
         paras += ps
         owner += [i] * len(ps)
-    flat = pc.replace_substring_regex(pa.array(paras, pa.large_string()), "[\u200b\u200d\ufeff]", "")
-    parts = pc.split_pattern(pc.replace_substring_regex(flat, r"([.?!…])[\s\pZ]+([\"'(`¿¡]*[\pL\pN])", "\\1\n\\2"), "\n")
+    paras = [p if p.isascii() else p.replace("\u200b", "").replace("\u200d", "").replace("\ufeff", "") for p in paras]
+    parts = pc.split_pattern(pc.replace_substring_regex(pa.array(paras, pa.large_string()), r"([.?!…])[\s\pZ]+([\"'(`¿¡]*[\pL\pN])", "\\1\n\\2"), "\n")
     sents, of = parts.flatten(), np.array(owner, np.int64)[pc.list_parent_indices(parts).to_numpy()]
     worded = pc.match_substring_regex(sents, r"\pL\pL")
     return sents.filter(worded), of[worded.to_numpy(zero_copy_only=False)]
@@ -145,29 +147,47 @@ def _digest(word: str) -> int:
 _SALT = np.array([_digest("language " + g) for g in _LANGS], np.int64)
 
 
-def _split(sents: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Sentence and number of every word, and the words."""
-    parts = pc.split_pattern_regex(sents, r"[^\pL0\x01]+")
+def _split(sents: pa.Array, between: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Sentence and number of every word, and the words; between: what separates words."""
+    parts = pc.split_pattern_regex(sents, between)
     flat, of = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
     some = pc.not_equal(flat, "")
     d = flat.filter(some).dictionary_encode()
     return of[some.to_numpy(zero_copy_only=False)], d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
 
 
+def _split_pieces(sents: pa.Array, rewrite: Callable[[pa.Array], pa.Array], between: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """As `_split` of the rewritten sentences, where neither words nor what is rewritten go over a space: each distinct piece
+    between spaces is rewritten and split once."""
+    parts = pc.split_pattern(sents, " ")
+    d = parts.flatten().dictionary_encode()
+    piece_of, code, words = _split(rewrite(d.dictionary), between)
+    n = np.bincount(piece_of, minlength=len(d.dictionary))
+    piece = d.indices.to_numpy(zero_copy_only=False)
+    each, first = n[piece], (np.cumsum(n) - n)[piece]
+    at = np.arange(each.sum())
+    at += np.repeat(first - (np.cumsum(each) - each), each)
+    return np.repeat(pc.list_parent_indices(parts).to_numpy(), each), code[at], words
+
+
 def _terms(sents: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Distinct (sentence, word) and the words: in lower case, of two letters or more; names in camel or snake case are several."""
-    of, code, words = _split(pc.replace_substring_regex(pc.utf8_lower(pc.replace_substring_regex(sents, r"(\p{Ll})(\p{Lu})", r"\1 \2")), "[0\x01]", " "))
+    of, code, words = _split_pieces(sents, lambda v: pc.utf8_lower(pc.replace_substring_regex(v, r"(\p{Ll})(\p{Lu})", r"\1 \2")), r"\PL+")
     long = np.array([len(w) > 1 for w in words], bool)
     keep = long[code] if len(words) else np.zeros(0, bool)
-    pairs = pc.unique(pa.array(of[keep].astype(np.int64) << 32 | code[keep])).to_numpy()  # sentences stay in order
+    pairs, _ = _runs(of[keep].astype(np.int64) << 32 | code[keep])  # sentences stay in order
     return pairs >> 32, pairs & 0xFFFFFFFF, words
 
 
 def _openings_of(sents: pa.Array) -> tuple[np.ndarray, list[str]]:
     """Numbers (sentences x 3) of the first three words within 48 characters, -1 where there are fewer, and the words: pieces
     of code as one mark, numbers as 0, the rest in lower case."""
-    s = pc.replace_substring_regex(pc.utf8_slice_codeunits(sents, 0, 48), r"\S*(?:[`_/(]|\p{Ll}\p{Lu}|[\pL\pN]\.[\pL\pN])\S*", " \x01 ")
-    of, code, words = _split(pc.replace_substring_regex(pc.utf8_lower(s), r"\pN+", " 0 "))
+
+    def rewrite(v: pa.Array) -> pa.Array:
+        v = pc.replace_substring_regex(v, r"\S*(?:[`_/(]|\p{Ll}\p{Lu}|[\pL\pN]\.[\pL\pN])\S*", " \x01 ")
+        return pc.replace_substring_regex(pc.utf8_lower(v), r"\pN+", " 0 ")
+
+    of, code, words = _split_pieces(pc.utf8_slice_codeunits(sents, 0, 48), rewrite, r"[^\pL0\x01]+")
     n = np.bincount(of, minlength=len(sents))
     at = (np.cumsum(n) - n)[:, None] + np.arange(3)
     there = np.arange(3) < n[:, None]
@@ -263,7 +283,9 @@ class _Batch:
         self.code, self.terms = d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_numpy(zero_copy_only=False).astype(np.int64)
         self.ids = self.terms[self.code]
         self.n_sent = b.column("lens").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        self.opens = flat("opens").reshape(-1, 3) if "opens" in b.schema.names else None
+        d = b.column("opens").flatten()
+        d = d if pa.types.is_dictionary(d.type) else d.dictionary_encode()
+        self.opens, self.open_words = d.indices.to_numpy(zero_copy_only=False).reshape(-1, 3), d.dictionary.to_numpy(zero_copy_only=False).astype(np.int64)
         self.mix: np.ndarray | None = None  # the mixture of the document's leaves, in which the last place is the share of no subject
         self.doc_of_sent = np.repeat(np.arange(len(self.docs)), self.n_sent)
         self.sent_of_term = np.repeat(np.arange(len(self.lens)), self.lens)
@@ -303,24 +325,22 @@ class Leaves:
     n: int
     near: int
 
-    def features(self, x: _Batch, docs: np.ndarray, width: int) -> np.ndarray:
-        """Hashed term counts of some documents, without stop terms."""
-        at = np.where(_find(self.stops, x.terms) >= 0, -1, x.terms % width)
-        row = np.full(len(x.docs), -1)
-        row[docs] = np.arange(len(docs))
-        lo, hi = np.searchsorted(x.doc_of_term, [docs[0], docs[-1] + 1]) if len(docs) else (0, 0)
-        r, f = row[x.doc_of_term[lo:hi]], at[x.code[lo:hi]]
-        keep = (r >= 0) & (f >= 0)
-        return np.bincount(r[keep] * width + f[keep], minlength=len(docs) * width).reshape(len(docs), width).astype(np.float32)
+    def features(self, x: _Batch):
+        """Hashed term counts without stop terms, 512 documents at a time: the first of them, and their counts."""
+        width = next(iter(self.idf.values())).shape[0]
+        at = np.where(_find(self.stops, x.terms) >= 0, width, x.terms % width)[x.code]
+        for a in range(0, len(x.docs), 512):
+            m = min(512, len(x.docs) - a)
+            lo, hi = np.searchsorted(x.doc_of_term, [a, a + m])
+            yield a, np.bincount((x.doc_of_term[lo:hi] - a) * (width + 1) + at[lo:hi], minlength=m * (width + 1)).reshape(m, width + 1)[:, :width]
 
     def spread(self, x: _Batch) -> tuple[np.ndarray, np.ndarray]:
         """The nearest leaves of each document and its shares in them; a document without features has share 0 in all."""
         leaf, share = np.zeros((len(x.docs), self.near), np.int64), np.zeros((len(x.docs), self.near))
-        for g, c in self.centres.items():
-            own, k = np.flatnonzero(x.langs == g), min(self.near, len(c))
-            for a in range(0, len(own), 512):
-                mine = own[a : a + 512]
-                v = self.features(x, mine, c.shape[1]) * self.idf[g]
+        for a, counts in self.features(x) if self.centres else ():
+            for g, c in self.centres.items():
+                rows, k = np.flatnonzero(x.lang_no[a : a + len(counts)] == _LANGS.index(g)), min(self.near, len(c))
+                mine, v = rows + a, counts[rows].astype(np.float32) * self.idf[g]
                 length = np.linalg.norm(v, axis=1, keepdims=True)
                 s = (v @ c.T) / np.where(length > 0, length, 1)
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
@@ -372,12 +392,18 @@ def _add(parts: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
 _VECTORS = "lang int, lens binary, f binary, n binary"
 
 
+def _narrow(v: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs: passes over vectors move all of them."""
+    return v.astype(np.min_scalar_type(v.max(initial=0))).tobytes()
+
+
 def _vectors(batches):
     """Language, entries of each document (none is 0), their features and counts, of term counts in batches of `_VECTORS`."""
     for b in batches:
-        for g, *parts in zip(b.column("lang").to_pylist(), *(b.column(c) for c in ("lens", "f", "n"))):
-            lens, f, n = (np.frombuffer(v.as_buffer(), np.int32) for v in parts)
-            yield g, lens.astype(np.int64), f, n
+        for g, lens, *parts in zip(b.column("lang").to_pylist(), *(b.column(c) for c in ("lens", "f", "n"))):
+            lens = np.frombuffer(lens.as_buffer(), np.int32).astype(np.int64)
+            f, n = (np.frombuffer(v.as_buffer(), f"u{v.as_buffer().size // lens.sum()}") for v in parts)
+            yield g, lens, f, n
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -413,12 +439,13 @@ class _Tree:
                 if g not in toward:
                     continue
                 start, own = np.cumsum(lens) - lens, first_of[g]
-                square = np.add.reduceat((weights[g][f] * count) ** 2, start)
+                square = np.add.reduceat((weights[g][f] * count) ** 2, start, dtype=np.float64)
                 row = np.repeat(np.arange(len(lens)), lens)
                 for a in range(0, len(lens), 512):
                     m, lo, hi = min(512, len(lens) - a), start[a], (start[a + 512] if a + 512 < len(lens) else len(f))
-                    v = np.zeros((m, width), np.float32)
-                    v[row[lo:hi] - a, f[lo:hi]] = count[lo:hi]
+                    v = np.zeros(m * width, np.float32)
+                    v[(row[lo:hi] - a) * width + f[lo:hi]] = count[lo:hi]
+                    v = v.reshape(m, width)
                     node, right = np.full(m, g), v @ toward[g] > 0
                     while ((at := cut[node]) >= 0).any():
                         node = np.where(at >= 0, part[node] + right[np.arange(m), at], node)
@@ -448,20 +475,14 @@ def fit_leaves(docs: DataFrame, p: Params) -> Leaves:
             rows = []
             for g in np.unique(x.lang_no[lens > 0]).tolist():
                 mine = x.lang_no[doc] == g
-                rows.append((g, *(v.astype(np.int32).tobytes() for v in (lens[(lens > 0) & (x.lang_no == g)], f[mine], n[mine]))))
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["lang", "lens", "f", "n"])
-
-    tf = written(docs.mapInArrow(count, _VECTORS), "tf")
-
-    def frequency(batches):
-        n, df = np.zeros(len(_LANGS), np.int64), np.zeros((len(_LANGS), width))
-        for g, lens, f, _ in _vectors(batches):
-            n[g] += len(lens)
-            df[g] += np.bincount(f, minlength=width)
-        yield _sums(np.arange(len(_LANGS)), n, df)
-
-    known = _add(tf.mapInArrow(frequency, _SUMS))
+                own_lens = lens[(lens > 0) & (x.lang_no == g)]
+                rows.append((g, own_lens.astype(np.int32).tobytes(), _narrow(f[mine]), _narrow(n[mine]), len(own_lens), np.bincount(f[mine], minlength=width).astype(np.float64)))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["lang", "lens", "f", "n", "docs", "df"])
+
+    counted = written(docs.mapInArrow(count, _VECTORS + ", docs bigint, df array<double>"), "tf")
+    known = _add(counted.select(F.col("lang").alias("key"), F.col("docs").alias("n"), F.col("df").alias("v")))
+    tf = counted.select("lang", "lens", "f", "n")
     weights = np.zeros((len(_LANGS), width), np.float32)
     for g, (n, df) in known.items():
         weights[g] = np.where(df >= min(3, n), np.log((n + 1) / (df + 1)), 0)
@@ -629,9 +650,33 @@ def _shares(x: _Batch, found: np.ndarray, s: int) -> np.ndarray:
     return np.bincount(x.doc_of_sent * (s + 1) + found, minlength=len(x.docs) * (s + 1)).reshape(-1, s + 1).astype(float)
 
 
-def _openings(x: _Batch, lex: Lexicon) -> np.ndarray:
-    """Opening words of each sentence, with terms of any subject as 1."""
-    return np.where(_find(lex.terms, x.opens.ravel()).reshape(x.opens.shape) >= 0, 1, x.opens)
+def _openings(x: _Batch, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """The opening words of a batch in order, with terms of any subject as 1, and the place of those of each sentence."""
+    words, at = np.unique(np.where(_find(lex.terms, x.open_words) >= 0, 1, x.open_words), return_inverse=True)
+    return words, at[x.opens]
+
+
+def _distinct_rows(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of three numbers from 0 to n - 1, and the place of each row's."""
+    _, pair = np.unique(rows[:, 0] * n + rows[:, 1], return_inverse=True)
+    _, at, inv = np.unique(pair * n + rows[:, 2], return_index=True, return_inverse=True)
+    return rows[at], inv
+
+
+class _Openings:
+    """A set of openings."""
+
+    def __init__(self, rows: np.ndarray):
+        self.words, at = np.unique(rows, return_inverse=True)
+        at, n = at.reshape(rows.shape), len(self.words)
+        self.pairs, pair = np.unique(at[:, 0] * n + at[:, 1], return_inverse=True)
+        self.rows = np.unique(pair * n + at[:, 2])
+
+    def has(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether each of some rows of places in words is in the set."""
+        n, at = len(self.words), _find(self.words, words)[rows]
+        pair = np.where((at >= 0).all(1), _find(self.pairs, at[:, 0] * n + at[:, 1]), -1)
+        return (pair >= 0) & (_find(self.rows, pair * n + at[:, 2]) >= 0)
 
 
 _COUNTS = "lang string, term bigint, b bigint, c bigint, n array<double>"
@@ -643,9 +688,15 @@ def _count(lang: pa.Array, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([lang, pa.array(keys[:, 0], pa.int64()), *more, _lists(n.ravel(), np.full(len(n), n.shape[1]), pa.float64())], names=["lang", "term", "b", "c", "n"])
 
 
-def _term_counts(x: _Batch, weight: np.ndarray):
-    """How much of each column of weight (sentences x columns) each term stands under, by language; term -1 is every sentence."""
-    n = np.stack([np.bincount(x.code, weight[x.sent_of_term, k], minlength=len(x.terms)) for k in range(weight.shape[1])], 1)
+def _term_counts(x: _Batch, weight: np.ndarray, found: np.ndarray | None = None):
+    """How much of each column of weight (sentences x columns) each term stands under, by language; term -1 is every sentence.
+    found: the only column of each sentence that is not 0, if it is known."""
+    width = weight.shape[1]
+    if found is None:
+        n = np.stack([np.bincount(x.code, weight[x.sent_of_term, k], minlength=len(x.terms)) for k in range(width)], 1)
+    else:
+        of_sent = weight[np.arange(len(found)), found]
+        n = np.bincount(x.code.astype(np.int64) * width + found[x.sent_of_term], of_sent[x.sent_of_term], len(x.terms) * width).reshape(-1, width)
     yield _count(_lang_names(x.lang_of_terms()), x.terms[:, None], n)
     for g in np.unique(x.lang_no):
         yield _count(_lang_names(np.array([g])), np.array([[-1]]), weight[(x.lang_no == g)[x.doc_of_sent]].sum(0, keepdims=True))
@@ -721,30 +772,29 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, defa
         for b in _unpacked(batches):
             x = mixed(b)
             found = classify(x, lex0, p)
-            yield from _term_counts(x, np.eye(s + 1)[found] * x.counts_for[:, None])
+            yield from _term_counts(x, np.eye(s + 1)[found] * x.counts_for[:, None], found)
             c = _shares(x, found, s)
             ok = (found < s) & (x.n_sent[x.doc_of_sent] > 3)
             d = x.doc_of_sent[ok]
             shared = c[d, found[ok]] - 1 >= np.maximum(1, 0.15 * (x.n_sent[d] - 1))
-            keys, inv = np.unique(_openings(x, lex0)[ok], axis=0, return_inverse=True) if ok.any() else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
-            n = np.stack([np.bincount(inv.ravel(), minlength=len(keys)), np.bincount(inv.ravel(), shared, minlength=len(keys))], 1).astype(float)
-            yield _count(pa.array([""] * len(keys), pa.string()), keys, n)
+            words, opened = _openings(x, lex0)
+            keys, inv = _distinct_rows(opened[ok], len(words))
+            n = np.stack([np.bincount(inv, minlength=len(keys)), np.bincount(inv, shared, minlength=len(keys))], 1).astype(float)
+            yield _count(pa.array([""] * len(keys), pa.string()), words[keys], n)
 
     counts = written(_sum_counts(parsed.mapInArrow(again, _COUNTS), s + 1), "counts")
     lex = _lexicon(counts, s, p, judged=True)
     few = counts.where("b is not null").select("term", "b", "c", F.get("n", F.lit(0)).alias("n"), F.get("n", F.lit(1)).alias("shared"))
     passing = few.where("n >= 12 and shared <= 0.15 * n").select("term", "b", "c").toArrow()
-    table = np.unique(np.stack([passing.column(k).to_numpy() for k in range(3)], 1), axis=0) if passing.num_rows else np.zeros((0, 3), np.int64)
-    known_openings = set(map(tuple, table.tolist()))
+    known_openings = _Openings(np.stack([passing.column(k).to_numpy() for k in range(3)], 1))
 
     def final(batches):
         for b in _unpacked(batches):
             x = mixed(b)
             found = classify(x, lex, p)
-            if known_openings:
-                hit = np.flatnonzero(found < s)
-                o = _openings(x, lex0)[hit]
-                found[hit[[tuple(r) in known_openings for r in o.tolist()]]] = s
+            hit = np.flatnonzero(found < s)
+            words, opened = _openings(x, lex0)
+            found[hit[known_openings.has(words, opened[hit])]] = s
             c = _shares(x, found, s)
             n = np.maximum(x.n_sent, 1)[:, None]
             take = (c >= share * n) & (c > 0)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from millrace.llm import subjects as S
@@ -118,3 +119,43 @@ def test_parsing():
     assert x.n_sent.tolist() == [0, 1] and set(x.ids.tolist()) == want
     assert pa.types.is_string(b.schema.field("lang").type) and b.column("lang").to_pylist() == ["", "de"]
     assert sentences("# a.\nOne two. Three!\nno end\n```\ncode.\n```\n- four?") == ["One two.", "Three!", "- four?"]
+
+
+def test_words_are_cut_once_a_piece(monkeypatch):
+    """What regular expressions cut grows with the distinct pieces of a batch, not with its text; the words are those of whole sentences."""
+    read, split = [], S._split
+
+    def counted(v, *rest):
+        read.append(pc.sum(pc.binary_length(v)).as_py() or 0)
+        return split(v, *rest)
+
+    monkeypatch.setattr(S, "_split", counted)
+    texts = ["The fooBar_baz2qux run() of x.y met 12a violins, a\u00a0court and\tthe ÉCOLE. Then  the court met."] * 500
+    S._parse_texts(list(range(500)), texts)
+    assert len(read) == 2 and sum(read) < 0.1 * sum(map(len, texts))
+    rng = random.Random(2)
+    odd = ["".join(rng.choice("abAÉßǅ09٣ .,\t\u00a0\x01`_/(") for _ in range(rng.randrange(1, 80))) for _ in range(2_000)]
+    of, code, words = S._terms(pa.array(odd, pa.large_string()))
+    got = [set() for _ in odd]
+    for i, w in zip(of, code):
+        got[i].add(words[w])
+    assert len(of) == sum(map(len, got)) and (np.diff(of) >= 0).all()
+    spaced = pc.utf8_lower(pc.replace_substring_regex(pa.array(odd), r"(\p{Ll})(\p{Lu})", r"\1 \2"))
+    assert got == [{w for w in ws if len(w) > 1} for ws in pc.split_pattern_regex(spaced, r"\PL+").to_pylist()]
+
+
+def test_vectors_and_openings():
+    """Numbers of any size come back from the bytes they take; openings are found as rows of three."""
+    for most in (0, 255, 256, 65_536):
+        f, n = np.array([3, 0, most]), np.array([1, most, 2])
+        rows = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *(pa.array([v]) for v in (np.array([2, 1], np.int32).tobytes(), S._narrow(f), S._narrow(n)))], names=["lang", "lens", "f", "n"])
+        ((g, *got),) = S._vectors([rows])
+        assert g == 1 and [v.tolist() for v in got] == [[2, 1], f.tolist(), n.tolist()]
+    rng = np.random.default_rng(4)
+    words, rows = np.arange(0, 60, 3), rng.integers(0, 20, (900, 3))
+    keys, inv = S._distinct_rows(rows, 20)
+    assert (keys[inv] == rows).all() and len(keys) == len(set(map(tuple, rows.tolist())))
+    some = words[rows[:300]] + rng.integers(0, 2, (300, 1))
+    known = set(map(tuple, some.tolist()))
+    assert S._Openings(some).has(words, rows).tolist() == [tuple(r) in known for r in words[rows].tolist()]
+    assert not S._Openings(np.zeros((0, 3), np.int64)).has(words, rows).any()
